@@ -1,135 +1,232 @@
-"""Substring dedup: lines are normalised, their digests grouped over the corpus, and all but the earliest occurrence removed."""
+"""Substring dedup: units of the lines are normalised, digests of paragraphs of them grouped over the corpus, and all but the earliest occurrence removed.
+
+A unit is a line or, within a line, a piece of it that starts like a sentence: copied passages
+are often set into the middle of other lines, where a digest of the whole line misses them. A
+paragraph is a unit with as many of the following ones as bring it to MIN_WORDS words, so a
+digest stands for at least that many words wherever it occurs.
+"""
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lists, small_batches, written
-
-#: Shorter lines are kept wherever they occur: they repeat by chance.
-MIN_WORDS = 10
-_word = re.compile(r"[^\W_]+")
-
-
-def normalise(line: str) -> str:
-    """Lower-case letters and digits, with one space between runs of them."""
-    return " ".join(_word.findall(line.lower()))
-
-
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, hi, lo) of each line of min_words words or more: its place in the text in characters and its 128-bit digest.
-
-    Null and empty texts and rows with a null id have no lines.
+from .common import lists, small_batches
+
+#: Words of a paragraph; what repeats in fewer words stays, since that repeats by chance and in set phrases.
+MIN_WORDS = 25
+_WORD, _UPPER, _SPACE, _STOP, _BREAK = 1, 2, 4, 8, 16
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class bits and lower case of every character."""
+    kinds = np.zeros(0x110000, np.uint8)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind[0] in "LN":
+            kinds[i] = _WORD | (_UPPER if kind in ("Lu", "Lt") else 0)
+            low = c.lower()
+            if len(low) == 1:
+                lower[i] = ord(low)
+        elif kind[0] == "Z" or c in "\t\r\f\v":
+            kinds[i] = _SPACE
+    kinds[ord("\n")] = _SPACE | _BREAK
+    for c in ".!?":
+        kinds[ord(c)] = _STOP
+    return kinds, lower
+
+
+def paragraphs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Start, end and 16-byte digest of each paragraph, by start.
+
+    A unit starts at the first word of the text, and at a word if the gap before
+    it has a line break, or white space and either one of .!? or a capital
+    letter after it. The end takes in what follows the last word up to the next
+    word or line break.
     """
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    kinds, lower = _tables()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = kinds[codes]
+    word = np.zeros(len(codes) + 2, np.int8)
+    word[1:-1] = k & _WORD
+    edge = np.diff(word)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(starts) < min_words:
+        return nothing
+    breaks = np.flatnonzero(k & _BREAK)
+    before = np.searchsorted(breaks, starts)
+    fresh = np.diff(before, prepend=-1) > 0
+    # Only gaps with white space and a stop, or white space and a capital, are units' ends besides breaks.
+    stops = np.concatenate([[0], np.cumsum((k & _STOP) > 0)])
+    spaces = np.concatenate([[0], np.cumsum((k & _SPACE) > 0)])
+    previous = np.concatenate([[0], ends[:-1]])
+    spaced = spaces[starts] > spaces[previous]
+    fresh |= spaced & ((stops[starts] > stops[previous]) | ((k[starts] & _UPPER) > 0))
+    fresh[0] = True
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(starts))
+    to = np.searchsorted(last, first + min_words)
+    first = first[to < len(last)]
+    to = last[to[to < len(last)]]
+    keep = word[1:-1].astype(bool)
+    inside = ends[ends < len(codes)]
+    keep[inside] = True
+    plain = lower[codes]
+    plain[inside] = 32
+    plain = np.append(plain[keep], np.uint32(32))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    view = memoryview(plain).cast("B")
+    digest = xxhash.xxh3_128_digest
+    digests = [digest(view[a:b]) for a, b in zip((offsets[first] * 4).tolist(), (offsets[to] * 4 - 4).tolist(), strict=True)]
+    end = ends[to - 1]
+    following = np.append(starts, len(codes))[to]
+    line = np.append(breaks, len(codes))[np.searchsorted(breaks, end)]
+    return starts[first], np.minimum(following, line), digests
+
+
+def _units(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, start, end, hi, lo) of every paragraph; key tells texts with the same id apart."""
     small_batches(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts, ends, digests = [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = 0
-                for line in text.split("\n"):
-                    words = _word.findall(line.lower())
-                    if len(words) >= min_words:
-                        ids.append(i)
-                        starts.append(at)
-                        ends.append(at + len(line))
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words)))
-                    at += len(line) + 1
-            both = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "start", "end", "hi", "lo"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    return rows.mapInArrow(split, "doc_id long, start int, end int, hi long, lo long")
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, **cols) -> DataFrame:
-    """(doc_id, start, end, kept_doc_id, kept_start): every occurrence but the earliest by (doc_id, start) of each repeated line.
-
-    Offsets count characters of the original text. Rows that repeat an id count as
-    one document per (id, start): both lose the line or neither does.
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            counts, starts, ends, digests = [], [], [], []
+            for text in b.column(2):
+                s, e, d = paragraphs(text.as_py(), min_words)
+                counts.append(len(d))
+                starts.append(s)
+                ends.append(e)
+                digests += d
+            if digests:
+                both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                cols = [np.repeat(ids, counts), np.repeat(keys, counts), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32), np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
+                yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "key", "start", "end", "hi", "lo"])
+
+    rows = docs.select("doc_id", "key", "text").dropna()
+    return rows.mapInArrow(split, "doc_id long, key long, start int, end int, hi long, lo long")
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, start, end): what is to be removed, as spans that don't overlap or touch."""
+    units = _units(docs, min_words)
+    # Grouping is partial before its shuffle and the join splits skewed keys, so a passage that all documents share is no hot spot.
+    first = units.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", "f")
+    again = units.join(first, ["hi", "lo"]).filter(F.struct("doc_id", "key", "start") != F.col("f")).select("doc_id", "key", "start", "end")
+    by_doc = Window.partitionBy("doc_id", "key").orderBy("start", "end")
+    so_far = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("_new", F.when(F.col("start") <= so_far, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc_id", "key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, end): each passage that occurs earlier in the corpus, by characters of the original text.
+
+    Earlier is by (doc_id, start); of different texts with one id, by a hash of
+    the text. Overlapping and touching spans are one. Null and empty texts,
+    texts of fewer than min_words words and rows with a null id have none and make none.
+    Rows repeated whole count as one row. Extra columns are not looked at.
     """
-    lines = written(units(docs, min_words=min_words, **cols).distinct(), "lines")
-    # The group is reduced before the shuffle, so a line that all documents share is no hot key there.
-    first = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", "first")
-    both = lines.join(first, ["hi", "lo"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    return both.select("doc_id", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    return _spans(_keyed(docs, id_col, text_col), min_words).select("doc_id", "start", "end")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the spans; a removed line goes with the line break after it."""
+    """The text without the spans, which are sorted and don't overlap."""
     parts, at = [], 0
-    for s, e in sorted(spans):
+    for s, e in spans:
         parts.append(text[at:s])
-        at = min(e + 1, len(text))
+        at = e
     parts.append(text[at:])
     return "".join(parts)
 
 
-def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without their repeated lines, in the columns of documents; n_chars is brought up to date where it is there.
+def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without the passages that occur earlier, in the columns of documents; n_chars is brought up to date where it is there.
 
-    A document that loses all its lines goes. Others stay, those with a null id
-    or text as they are.
+    A document left without any letter or digit goes. Others stay, those with a
+    null id or text as they are. Extra columns may have any name, even one twice.
     """
     names = docs.columns
     id_at, text_at = names.index("doc_id"), names.index("text")
-    gone = repeated_lines(docs, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
-    gone = gone.select(F.col("doc_id").alias("_k"), F.col("s.start").alias("_s"), F.col("s.end").alias("_e"))
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    joined = plain.join(gone, plain[f"c{id_at}"] == gone["_k"], "left").drop("_k")
-    joined = joined.withColumns({"_s": F.coalesce("_s", F.expr("cast(array() as array<int>)")), "_e": F.coalesce("_e", F.expr("cast(array() as array<int>)"))})
     chars_at = names.index("n_chars") if "n_chars" in names else None
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    gone = _spans(_keyed(plain, f"c{id_at}", f"c{text_at}"), min_words).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
+    gone = gone.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), F.col("s.start").alias("_s"), F.col("s.end").alias("_e"))
+    # The spans are the small side: with them hashed, the texts are neither sorted nor spilled.
+    joined = plain.join(gone.hint("shuffle_hash"), (F.col(f"c{id_at}").cast("long") == F.col("_i")) & (F.xxhash64(f"c{text_at}") == F.col("_k")), "left").drop("_i", "_k")
+    joined = joined.withColumns({c: F.coalesce(c, F.expr("cast(array() as array<int>)")) for c in ("_s", "_e")})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_columns - 2
             cols = [b.column(i) for i in range(n)]
             starts, offsets = lists(b.column(n))
+            keep = np.ones(b.num_rows, bool)
             if len(starts):
                 ends, _ = lists(b.column(n + 1))
                 texts = cols[text_at].to_pylist()
-                keep, changed = np.ones(b.num_rows, bool), {}
-                for i in np.flatnonzero(np.diff(offsets)):
-                    spans = list(zip(starts[offsets[i] : offsets[i + 1]].tolist(), ends[offsets[i] : offsets[i + 1]].tolist(), strict=True))
-                    texts[i] = cut(texts[i], spans) if texts[i] is not None else None
-                    changed[i] = len(texts[i] or "")
-                    keep[i] = texts[i] is None or bool(texts[i].strip())
+                changed = np.flatnonzero(np.diff(offsets))
+                for i in changed:
+                    texts[i] = cut(texts[i], list(zip(starts[offsets[i] : offsets[i + 1]].tolist(), ends[offsets[i] : offsets[i + 1]].tolist(), strict=True)))
+                    keep[i] = any(map(str.isalnum, texts[i]))
                 cols[text_at] = pa.array(texts, cols[text_at].type)
                 if chars_at is not None:
                     chars = cols[chars_at].to_pylist()
-                    for i, size in changed.items():
-                        chars[i] = size
+                    for i in changed:
+                        chars[i] = len(texts[i])
                     cols[chars_at] = pa.array(chars, cols[chars_at].type)
-                yield pa.record_batch(cols, b.schema.names[:n]).filter(pa.array(keep))
-            else:
-                yield pa.record_batch(cols, b.schema.names[:n])
+            yield pa.record_batch(cols, b.schema.names[:n]).filter(pa.array(keep))
 
     return joined.mapInArrow(apply, plain.schema).toDF(*names)
 
 
-#: DuckDB SQL for repeated_lines over documents.
+#: DuckDB SQL for repeated_spans over documents.
 ORACLE = f"""
-with parts as (select doc_id, string_split(text, chr(10)) as p from documents where doc_id is not null and text is not null),
-numbered as (select doc_id, unnest(p) as line, generate_subscripts(p, 1) as k from parts),
+with parts as (
+  select doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') as p
+  from (select distinct doc_id, text from documents where doc_id is not null and text is not null)
+),
+pieces as (select doc_id, unnest(p) as s, generate_subscripts(p, 1) as k from parts),
 placed as (
-  select doc_id, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as start
-  from numbered
+  select *, sum(length(s)) over w - length(s) as pos, sum(length(s)) over w as till, lag(s) over w as gap, lead(s) over w as following,
+    regexp_matches(s, '^[\\p{{L}}\\p{{N}}]') as is_word
+  from pieces window w as (partition by doc_id order by k)
+),
+words as (
+  select doc_id, s, pos, till, following, row_number() over (partition by doc_id order by k) - 1 as n,
+    coalesce(contains(gap, chr(10)) or (regexp_matches(gap, '[\\s\\p{{Z}}]') and (regexp_matches(gap, '[.!?]') or regexp_matches(s, '^[\\p{{Lu}}\\p{{Lt}}]'))), false) as fresh
+  from placed where is_word
+),
+bounded as (
+  select doc_id, n, pos as start, lead(n, 1, (select count(*) from words v where v.doc_id = w.doc_id)) over (partition by doc_id order by n) as stop
+  from words w where n = 0 or fresh
+),
+wide as (
+  select a.doc_id, a.n, a.start, b.stop from (select *, n + {MIN_WORDS} as least from bounded) a asof join bounded b on a.doc_id = b.doc_id and a.least <= b.stop
 ),
-normal as (
-  select doc_id, start, start + length(line) as stop, trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as norm from placed
+strings as (select doc_id, list(lower(s) order by n) as ws from words group by doc_id),
+paragraphs as (
+  select p.doc_id, p.start, l.till + coalesce(length(regexp_extract(l.following, '^[^\\n]*')), 0) as stop, array_to_string(t.ws[p.n + 1 : p.stop], ' ') as norm
+  from wide p join words l on l.doc_id = p.doc_id and l.n = p.stop - 1 join strings t on t.doc_id = p.doc_id
 ),
-lines as (select * from normal where length(norm) - length(replace(norm, ' ', '')) + 1 >= {MIN_WORDS}),
-ranked as (
-  select *, row_number() over w as r, first_value(doc_id) over w as kept_doc_id, first_value(start) over w as kept_start
-  from lines window w as (partition by norm order by doc_id, start)
-)
-select doc_id, start::int as start, stop::int as "end", kept_doc_id, kept_start::int as kept_start from ranked where r > 1
+ranked as (select doc_id, start, stop, row_number() over (partition by norm order by doc_id, start) as r from paragraphs),
+again as (select doc_id, start, stop from ranked where r > 1),
+flagged as (select *, case when start <= max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) then 0 else 1 end as f from again),
+runs as (select *, sum(f) over (partition by doc_id order by start, stop rows between unbounded preceding and current row) as run from flagged)
+select doc_id, min(start)::int as start, max(stop)::int as "end" from runs group by doc_id, run
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, toxicity
+from . import bpe, decontaminate, lines, toxicity
 from .common import table
 
 
@@ -20,5 +20,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_bpe, op6_toxicity)}
-ORACLE: dict[str, str] = {}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_bpe, op6_toxicity, op10_substring)}
+ORACLE: dict[str, str] = {"op10_substring": lines.ORACLE}
