@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lines, toxicity
+from . import bpe, decontaminate, lines, minhash, toxicity
 from .common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,5 +28,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_bpe, op6_toxicity, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op4_decontamination, op5_bpe, op6_toxicity, op10_substring)}
 ORACLE: dict[str, str] = {"op10_substring": lines.ORACLE}
