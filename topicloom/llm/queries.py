@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lines, minhash, toxicity
+from . import bpe, decontaminate, lines, minhash, quality, toxicity
 from .common import table
 
 
@@ -24,9 +24,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op4_decontamination, op5_bpe, op6_toxicity, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op4_decontamination, op5_bpe, op6_toxicity, op7_quality, op10_substring)}
 ORACLE: dict[str, str] = {"op10_substring": lines.ORACLE}
