@@ -1,4 +1,7 @@
-"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams."""
+"""Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+
+A word also counts by its beginnings, which are the same in its inflected forms.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +10,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, lists, mix, small_batches, word_hashes
+from .common import WORD_BREAK, list_array, lists, mix, small_batches
 
 BITS = 20
 #: Bound of the labelled rows that a fit uses; they are drawn by the hash of their id.
 MAX_LABELLED = 12_000
+#: Letters of a word's beginnings.
+STEMS = (3, 4, 6)
+_EACH = 1 + len(STEMS)
 
 
 @dataclass
@@ -31,14 +37,31 @@ class Model:
         w[self.index] = self.weight
         return w
 
+    def probabilities(self, r: np.ndarray, f: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each row; a feature counts once, a row of size 0 has 0."""
+        hit = weights[f] != 0
+        key = np.unique(r[hit] << self.bits | f[hit])
+        total = np.bincount(key >> self.bits, weights[key & ((1 << self.bits) - 1)], len(sizes)) + self.bias
+        return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(total, -35, 35))), 0.0)
+
+
+def _hashes(text: Column) -> Column:
+    """64-bit hashes of each lower-case word of a text and of its beginnings, one after another; empty for null."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.array(F.xxhash64(w), *[F.xxhash64(F.substring(w, 1, n)) for n in STEMS])))
+
 
-def features(words: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word, pair of neighbours and pair with one word skipped; repeats included."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    w = words.view(np.uint64) if words.dtype == np.int64 else words.astype(np.uint64)
+def features(hashes: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every word, its beginnings, pairs of neighbours and pairs with one word skipped; repeats included."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // _EACH)
+    each = hashes.view(np.uint64).reshape(-1, _EACH)
+    w = each[:, 0]
     shift = np.uint64(64 - bits)
     out_rows, out = [rows], [mix(w) >> shift]
     with np.errstate(over="ignore"):
+        for k in range(1, _EACH):
+            out.append(mix(each[:, k] * np.uint64(2 * k + 1) + np.uint64(k)) >> shift)
+            out_rows.append(rows)
         for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
             if len(w) > gap:
                 same = rows[:-gap] == rows[gap:]
@@ -48,7 +71,7 @@ def features(words: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[
     return np.concatenate(out_rows), np.concatenate(out).astype(np.int64)
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3, seed: int = 7) -> Model:
+def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 5, seed: int = 7) -> Model:
     """Per-coordinate FTRL-proximal over present features. With one class or no rows all weights are 0 and only the bias is set."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     if len(labels) == 0 or labels.min() == labels.max():
@@ -85,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(max_labelled)
     )
     # At most max_labelled rows of two numbers, so it may be broadcast.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", word_hashes(F.col("_t")).alias("_w"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_y", _hashes(F.col("_t")).alias("_w"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,13 +140,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             words, offsets = lists(b.column("_w"))
             r, f = features(words, offsets)
-            hit = weights[f] != 0
-            key = np.unique(r[hit] << m.bits | f[hit])
-            total = np.bincount(key >> m.bits, weights[key & ((1 << m.bits) - 1)], b.num_rows) + m.bias
-            p = np.where(np.diff(offsets) > 0, 1 / (1 + np.exp(-np.clip(total, -35, 35))), 0.0)
+            p = m.probabilities(r, f, weights, np.diff(offsets))
             yield pa.record_batch([b.column(0), pa.array(p)], [id_col, "toxicity"])
 
-    return docs.select(F.col(id_col), word_hashes(F.col(text_col)).alias("_w")).mapInArrow(scored, f"`{id_col}` {id_type}, toxicity double")
+    return docs.select(F.col(id_col), _hashes(F.col(text_col)).alias("_w")).mapInArrow(scored, f"`{id_col}` {id_type}, toxicity double")
 
 
 def toxic_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **params) -> DataFrame:
@@ -149,10 +169,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **par
         for b in batches:
             words, offsets = lists(b.column(b.num_columns - 1))
             r, f = features(words, offsets)
-            hit = weights[f] != 0
-            key = np.unique(r[hit] << m.bits | f[hit])
-            total = np.bincount(key >> m.bits, weights[key & ((1 << m.bits) - 1)], b.num_rows) + m.bias
-            p = np.where(np.diff(offsets) > 0, 1 / (1 + np.exp(-np.clip(total, -35, 35))), 0.0)
+            p = m.probabilities(r, f, weights, np.diff(offsets))
             yield b.filter(pa.array(p < threshold)).select(list(range(b.num_columns - 1)))
 
-    return plain.select("*", word_hashes(F.col(text)).alias("_w")).mapInArrow(kept, plain.schema).toDF(*names)
+    return plain.select("*", _hashes(F.col(text)).alias("_w")).mapInArrow(kept, plain.schema).toDF(*names)
