@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lines, minhash, quality, toxicity
+from . import bpe, chat, decontaminate, lines, minhash, quality, recurrent, toxicity, vectors, warc
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.training_rows(table(spark, sf_dir, "conversations"))
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,9 +36,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.log_likelihoods(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.distinct_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op4_decontamination, op5_bpe, op6_toxicity, op7_quality, op10_substring)}
-ORACLE: dict[str, str] = {"op10_substring": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_chat, op3_embeddings, op4_decontamination, op5_bpe, op6_toxicity, op7_quality, op8_language_model, op9_warc, op10_substring)}
+ORACLE: dict[str, str] = {"op3_embeddings": vectors.ORACLE, "op9_warc": warc.ORACLE, "op10_substring": lines.ORACLE}
