@@ -14,11 +14,16 @@ def tokens(text: Column, ngrams: int = 1) -> Column:
     one = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     out = one
     for n in range(2, ngrams + 1):
-        runs = F.when(F.size(one) >= n, F.transform(F.sequence(F.lit(1), F.size(one) - (n - 1)), lambda i, n=n: F.array_join(F.slice(one, i, n), " ")))
-        out = F.concat(out, F.coalesce(runs, F.array().cast("array<string>")))
+        out = F.concat(out, _runs(one, n))
     return out
 
 
+def _runs(words: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    runs = F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return F.coalesce(runs, F.array().cast("array<string>"))
+
+
 def term_counts(docs: DataFrame, keys: list[str], text_col: str = "text", ngrams: int = 1) -> DataFrame:
     """(keys..., term, n) over the documents of the same keys."""
     return docs.select(*keys, F.explode(tokens(F.col(text_col), ngrams)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
