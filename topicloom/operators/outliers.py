@@ -30,7 +30,7 @@ def by_ctfidf(counts: DataFrame, scores: DataFrame, threshold: float = 0.0, id_c
     of_doc = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("dn"))
     of_topic = scores.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
     products = counts.join(scores, "term").groupBy(id_col, "topic").agg(F.sum(F.col("n") * F.col("score")).alias("p"))
-    sims = products.join(of_doc, id_col).join(F.broadcast(of_topic), "topic")
+    sims = products.join(of_doc, id_col).join(of_topic, "topic")
     return _best(sims.select(id_col, "topic", (F.col("p") / F.greatest("dn", F.lit(1e-9)) / F.greatest("tn", F.lit(1e-9))).alias("sim")), id_col, threshold, digits)
 
 

@@ -29,7 +29,7 @@ def numbered(docs: DataFrame, order: list[str]) -> DataFrame:
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     # One row a partition, so this window is small whatever the rows are.
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return within.join(F.broadcast(before), "_p").withColumn("rn", F.col("_before") + F.col("_k") - 1).drop("_p", "_k", "_before")
+    return within.join(before, "_p").withColumn("rn", F.col("_before") + F.col("_k") - 1).drop("_p", "_k", "_before")
 
 
 def raw_trends(docs: DataFrame, window: int = 100, stride: int = 50, topics: int = 50, topic_ids: list[int] | None = None) -> DataFrame:
