@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class Net:
         """States after each step of (steps, lanes) tokens, and what going back needs."""
         p, n = self.p, self.h
         steps, lanes = tokens.shape
-        gx = p["x"][tokens]
+        gx = np.take(p["x"], tokens.ravel(), axis=0).reshape(steps, lanes, 3 * n)
         hs = np.empty((steps + 1, lanes, n), np.float32)
         gates = np.empty((steps, lanes, 2 * n), np.float32)
         cand, inner = np.empty((steps, lanes, n), np.float32), np.empty((steps, lanes, n), np.float32)
@@ -78,7 +79,12 @@ class Net:
             c = cand[t]
             np.multiply(g[:, :n], inner[t], out=c)
             c += gx[t, :, 2 * n :]
-            np.tanh(c, out=c)
+            # tanh by way of exp, which is faster here; it is exact at both ends.
+            c *= -2
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
             z = g[:, n:]
             np.subtract(hs[t], c, out=hs[t + 1])
             hs[t + 1] *= z
@@ -89,14 +95,16 @@ class Net:
         """Log-likelihood of each target given its state; with grad, also the loss's slope by state, and grad is filled."""
         p = self.p
         cls = targets // self.width
-        order = np.argsort(cls, kind="stable")
+        # Sorting by counts is for short integers.
+        order = np.argsort(cls.astype(np.uint16) if self.classes <= 1 << 16 else cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
         logits = h @ p["c"]
         logits += p["bc"]
         rows = np.arange(len(h))
         own = logits[rows, cls]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        ones = np.ones(max(self.classes, self.width), h.dtype)
+        total = logits @ ones[: self.classes]
         ll = own - np.log(total)
         dh = None
         if grad is not None:
@@ -105,7 +113,7 @@ class Net:
             dh = logits @ p["c"].T
             grad["c"][:] = h.T @ logits
             grad["bc"][:] = logits.sum(0)
-        hs, inside = h[order], (targets - cls * self.width)[order]
+        hs, inside = np.take(h, order, axis=0), (targets - cls * self.width)[order]
         lw = np.empty(len(h), np.float32)
         dw = np.empty_like(h) if grad is not None else None
         for k in range(self.classes):
@@ -117,7 +125,7 @@ class Net:
             r, i = np.arange(b - a), inside[a:b]
             mine = e[r, i]
             np.exp(e, out=e)
-            s = e.sum(1)
+            s = e @ ones[: self.width]
             lw[a:b] = mine - np.log(s)
             if grad is not None:
                 e /= s[:, None]
@@ -135,29 +143,34 @@ class Net:
         p, n = self.p, self.h
         tokens, gates, cand, inner = kept
         steps, lanes = tokens.shape
-        dgx = np.empty((steps, lanes, 3 * n), np.float32)
-        dgh = np.empty((steps, lanes, 3 * n), np.float32)
+        dgh, dc = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, n), np.float32)
         dh = np.zeros((lanes, n), np.float32)
         back = np.ascontiguousarray(p["u"].T)
+        # What doesn't depend on the slopes is made for all steps at once.
+        r, z = gates[:, :, :n], gates[:, :, n:]
+        by_c = (1 - z) * (1 - cand * cand)
+        by_z = (hs[:-1] - cand) * z * (1 - z)
+        by_r = inner * r * (1 - r)
         for t in range(steps - 1, -1, -1):
             dh += dh_out[t]
-            r, z, c = gates[t, :, :n], gates[t, :, n:], cand[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (hs[t] - c) * z * (1 - z)
-            dgx[t, :, 2 * n :] = dc
-            dgx[t, :, n : 2 * n] = dz
-            dgx[t, :, :n] = dc * inner[t] * r * (1 - r)
-            dgh[t, :, : 2 * n] = dgx[t, :, : 2 * n]
-            dgh[t, :, 2 * n :] = dc * r
-            dh = dh * z + dgh[t] @ back
+            g = dgh[t]
+            np.multiply(dh, by_c[t], out=dc[t])
+            np.multiply(dc[t], by_r[t], out=g[:, :n])
+            np.multiply(dh, by_z[t], out=g[:, n : 2 * n])
+            np.multiply(dc[t], r[t], out=g[:, 2 * n :])
+            dh *= z[t]
+            dh += g @ back
+        dgx = dgh.copy()
+        dgx[:, :, 2 * n :] = dc
         flat_h, flat_g = hs[:-1].reshape(-1, n), dgh.reshape(-1, 3 * n)
         grad["u"][:] = flat_h.T @ flat_g
         grad["bu"][:] = flat_g.sum(0)
         at = tokens.ravel()
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        order = np.argsort(at.astype(np.uint16) if self.v <= 1 << 16 else at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
         grad["x"][:] = 0
-        grad["x"][at[order][first]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], first, axis=0)
+        grad["x"][at[first]] = np.add.reduceat(np.take(dgx.reshape(-1, 3 * n), order, axis=0), first, axis=0)
 
 
 def _lanes(sizes: np.ndarray, lanes: int, seed: int) -> list[list[int]]:
@@ -183,53 +196,64 @@ def run(net: Net, docs: list[np.ndarray], train: bool, rate: float = 0.01, lanes
     if not docs:
         return out
     sizes = np.array([len(d) for d in docs])
-    rows, owner, fresh = [], [], []
-    for lane in _lanes(sizes, lanes, 3):
-        padded = [-(-len(docs[i]) // WINDOW) * WINDOW for i in lane]
-        seq = np.full(sum(padded) + 1, -1, np.int32)
-        own, start, at = np.full(sum(padded) // WINDOW, -1, np.int64), np.zeros(sum(padded) // WINDOW, bool), 0
-        for i, n in zip(lane, padded, strict=True):
-            seq[at : at + len(docs[i])] = docs[i]
-            own[at // WINDOW : (at + n) // WINDOW] = i
-            start[at // WINDOW] = True
+    plan = _lanes(sizes, lanes, 3)
+    windows = [sum(-(-int(sizes[i]) // WINDOW) for i in lane) for lane in plan]
+    words, owner, fresh = np.full((len(plan), windows[0] * WINDOW), -1, np.int32), np.zeros((windows[0], len(plan)), np.int64), np.zeros((windows[0], len(plan)), bool)
+    for j, lane in enumerate(plan):
+        at = 0
+        for i in lane:
+            n = -(-len(docs[i]) // WINDOW)
+            words[j, at * WINDOW : at * WINDOW + len(docs[i])] = docs[i]
+            owner[at : at + n, j] = i
+            fresh[at, j] = True
             at += n
-        rows.append(seq)
-        owner.append(own)
-        fresh.append(start)
-    state = np.zeros((len(rows), net.h), np.float32)
-    last = np.full(len(rows), END, np.int32)
+    live = np.searchsorted(-np.array(windows), -np.arange(1, windows[0] + 1), "right")
+    state = np.zeros((len(plan), net.h), np.float32)
+    last = np.full(len(plan), END, np.int32)
     if train:
         grad_flat = np.zeros_like(net.flat)
-        grad, m1, m2, step = net.views(grad_flat), np.zeros_like(net.flat), np.zeros_like(net.flat), 0
-    for k in range(len(owner[0])):
-        live = sum(len(o) > k for o in owner)
-        targets = np.stack([rows[j][k * WINDOW : (k + 1) * WINDOW] for j in range(live)], 1)
-        own = np.array([owner[j][k] for j in range(live)])
-        begun = np.array([fresh[j][k] for j in range(live)])
-        state = state[:live]
+        grad, m1, m2, some, step = net.views(grad_flat), np.zeros_like(net.flat), np.zeros_like(net.flat), np.empty_like(net.flat), 0
+    for k in range(windows[0]):
+        n = live[k]
+        targets = np.ascontiguousarray(words[:n, k * WINDOW : (k + 1) * WINDOW].T)
+        begun = fresh[k, :n]
+        state = state[:n]
         state[begun] = 0
-        before = np.where(begun, END, last[:live])
+        before = np.where(begun, END, last[:n])
         given = np.maximum(np.concatenate([before[None, :], targets[:-1]]), 0)
         hs, kept = net.forward(given, state)
-        real = targets.ravel() >= 0
-        h = hs[1:].reshape(-1, net.h)[real]
-        ll, dh = net.losses(h, targets.ravel()[real], grad if train else None)
+        real = np.flatnonzero(targets.ravel() >= 0)
+        whole = len(real) == targets.size
+        h = hs[1:].reshape(-1, net.h)
+        ll, dh = net.losses(h if whole else np.take(h, real, axis=0), targets.ravel()[real], grad if train else None)
         full = np.zeros(targets.size)
         full[real] = ll
-        np.add.at(out, own, full.reshape(targets.shape).sum(0))
+        out[owner[k, :n]] += full.reshape(targets.shape).sum(0)  # a document is in one lane
         state, last = hs[-1].copy(), np.maximum(targets[-1], 0)
         if train:
-            dh_out = np.zeros((targets.size, net.h), np.float32)
-            dh_out[real] = dh
-            net.backward(hs, kept, dh_out.reshape(*targets.shape, net.h), grad)
-            grad_flat /= max(1, int(real.sum()))
+            if not whole:
+                dh_out = np.zeros((targets.size, net.h), np.float32)
+                dh_out[real] = dh
+                dh = dh_out
+            net.backward(hs, kept, dh.reshape(*targets.shape, net.h), grad)
+            grad_flat /= max(1, len(real))
             norm = float(np.sqrt(grad_flat @ grad_flat))
             if norm > 1:
                 grad_flat /= norm
             step += 1
-            m1 += 0.1 * (grad_flat - m1)
-            m2 += 0.01 * (grad_flat * grad_flat - m2)
-            net.flat -= (rate / (1 - 0.9**step) * m1) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+            m1 *= 0.9
+            m2 *= 0.99
+            np.multiply(grad_flat, grad_flat, out=some)
+            some *= 0.01
+            m2 += some
+            grad_flat *= 0.1
+            m1 += grad_flat
+            np.multiply(m2, 1 / (1 - 0.99**step), out=some)
+            np.sqrt(some, out=some)
+            some += 1e-6
+            np.divide(m1, some, out=some)
+            some *= rate / (1 - 0.9**step)
+            net.flat -= some
             # Logits stay where exp is finite without a shift: states are within -1 and 1.
             most = 80 / (net.h + 1)
             for name in ("w", "c", "bw", "bc"):
@@ -265,10 +289,11 @@ def _pools(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = text.as_py()
-            ids = [index.get(w, UNKNOWN) for w in words(text)] if text else []
+            own = words(text) if text else []
+            ids = np.fromiter(map(index.get, own, repeat(UNKNOWN)), np.int32, len(own))
             keys.append(key)
-            docs.append(np.array([*ids, END] if ids else ids, np.int32))
-            total += len(ids)
+            docs.append(np.append(ids, np.int32(END)) if len(own) else ids)
+            total += len(own)
             if total >= POOL:
                 yield keys, docs
                 keys, docs, total = [], [], 0
