@@ -114,27 +114,26 @@ class Net:
             grad["c"][:] = h.T @ logits
             grad["bc"][:] = logits.sum(0)
         hs, inside = np.take(h, order, axis=0), (targets - cls * self.width)[order]
-        lw = np.empty(len(h), np.float32)
-        dw = np.empty_like(h) if grad is not None else None
-        for k in range(self.classes):
-            a, b = bounds[k], bounds[k + 1]
-            if a == b:
-                continue
-            e = hs[a:b] @ p["w"][k]
-            e += p["bw"][k]
-            r, i = np.arange(b - a), inside[a:b]
-            mine = e[r, i]
-            np.exp(e, out=e)
-            s = e @ ones[: self.width]
-            lw[a:b] = mine - np.log(s)
-            if grad is not None:
-                e /= s[:, None]
-                e[r, i] -= 1
-                dw[a:b] = e @ p["w"][k].T
-                grad["w"][k] = hs[a:b].T @ e
-                grad["bw"][k] = e.sum(0)
-        ll[order] += lw
+        there = np.flatnonzero(np.diff(bounds))
+        e = np.take(p["bw"], cls[order], axis=0)
+        for k in there:
+            e[bounds[k] : bounds[k + 1]] += hs[bounds[k] : bounds[k + 1]] @ p["w"][k]
+        mine = e[rows, inside]
+        np.exp(e, out=e)
+        total = e @ ones[: self.width]
+        ll[order] += mine - np.log(total)
         if grad is not None:
+            e /= total[:, None]
+            e[rows, inside] -= 1
+            dw = np.empty_like(h)
+            if len(there) < self.classes:
+                grad["w"][:] = 0
+                grad["bw"][:] = 0
+            for k in there:
+                a, b = bounds[k], bounds[k + 1]
+                np.matmul(e[a:b], p["w"][k].T, out=dw[a:b])
+                np.matmul(hs[a:b].T, e[a:b], out=grad["w"][k])
+            grad["bw"][there] = np.add.reduceat(e, bounds[there], axis=0)
             dh[order] += dw
         return ll, dh
 
