@@ -19,10 +19,16 @@ _local: str | None = None
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; timestamps without a zone are read as UTC."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spread(spark.read.parquet(f"{folder}/{name}.parquet"))
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the files have fewer splits than that, as a single small file has; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; in plain local mode a temporary one if that is unset."""
     global _local
