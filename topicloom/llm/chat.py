@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import list_array, small_batches
 
 #: Vocabulary file for the tokenizers library, at this path on every worker.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -74,10 +75,14 @@ def training_rows(turns: DataFrame, path: str = TOKENIZER, learnt: tuple[str, ..
             for roles, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text, spans = render(list(zip(roles, texts, strict=True)), learnt)
                 e = t.encode(text, add_special_tokens=False)
-                ids.append(e.ids)
-                masks.append(mask(np.array(e.offsets).reshape(-1, 2), np.array(spans).reshape(-1, 2)))
-                counts.append((len(roles), len(e.ids), int(masks[-1].sum())))
-            n, tokens, marked = (pa.array(c, pa.int32()) for c in (zip(*counts, strict=True) if counts else ((), (), ())))
-            yield pa.record_batch([b.column(0), n, tokens, marked, pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], ["conv_id", "n_turns", "n_tokens", "n_learnt", "token_ids", "loss_mask"])
+                own = np.array(e.ids, np.int32)
+                offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(own)).reshape(-1, 2)
+                ids.append(own)
+                masks.append(mask(offsets, np.array(spans).reshape(-1, 2)))
+                counts.append((len(roles), len(own), int(masks[-1].sum())))
+            if counts:
+                n, tokens, marked = (np.array(c, np.int32) for c in zip(*counts, strict=True))
+                bounds = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+                yield pa.record_batch([b.column(0), pa.array(n), pa.array(tokens), pa.array(marked), list_array(np.concatenate(ids), bounds), list_array(np.concatenate(masks), bounds)], ["conv_id", "n_turns", "n_tokens", "n_learnt", "token_ids", "loss_mask"])
 
     return whole.mapInArrow(encode, f"conv_id {kind}, n_turns int, n_tokens int, n_learnt int, token_ids array<int>, loss_mask array<tinyint>")
