@@ -88,6 +88,16 @@ def test_ids_are_those_of_the_merge_rules(path):
         assert ids == enc.encode_ordinary(t) and c.decode(ids) == t.encode()
 
 
+@pytest.mark.parametrize("path", [bpe.RANKS, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"])
+def test_runs_longer_than_64_bytes_have_the_ids_of_the_merge_rules(path):
+    c, enc = bpe.codec(path), library(path)
+    for unit in ("-", "=", "ÃÂ"):
+        for n in range(30, 301):
+            for t in (unit * n, " " + unit * n):
+                ids = c.encode(t)
+                assert ids == enc.encode_ordinary(t) and c.decode(ids) == t.encode()
+
+
 def test_tokens_at_the_edges(spark):
     long = "Some words, and 123 more. " * 20_000
     rows = [(1, None), (2, ""), (3, "Hello world"), (None, "x"), (3, "Hello world"), (4, long), (5, "\u0000🙂")]

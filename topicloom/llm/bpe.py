@@ -39,6 +39,7 @@ class Codec:
             a.add_word(t, i)
         a.make_automaton()
         self.automaton = a
+        self.window = max(map(len, ranks))
         self.split = self._splits()
         self.shorter = self._prefixes()
         self.fits: dict[int, bool] = {}
@@ -111,7 +112,7 @@ class Codec:
 
     def longest(self, text: str, at: int) -> int:
         """The longest token at a place of the text; every byte is a token."""
-        n = self.automaton.longest_prefix(text[at : at + 64])
+        n = self.automaton.longest_prefix(text[at : at + self.window])
         while n > 1 and text[at : at + n] not in self.text:
             n -= 1
         return self.text[text[at : at + n]]
