@@ -197,3 +197,16 @@ def test_language_model_at_the_edges(spark):
     assert len(got) == 7 and by[1, 0].perplexity is None and by[3, 0].log_likelihood == 0
     assert by[4, 3].log_likelihood == pytest.approx(by[None, 3].log_likelihood) and by[5, 60_001].log_likelihood < 0
     assert recurrent.log_likelihoods(docs_of(spark, [])).count() == 0
+
+
+def test_vocabulary_follows_the_corpus_and_rare_words_are_spelled(spark):
+    often = [(i, " ".join(f"w{k}" for k in range(i % 2, 2400, 2))) for i in range(2 * recurrent.MIN_COUNT)]
+    rare = [(1000, "abcab abcabc bcabca"), (1001, "xqzjv kwvzq zzqxj"), (1002, "abcabd")]
+    docs = docs_of(spark, often + [(2000 + i, "abcabc abcab cabca") for i in range(9)] + rare)
+    known, net = recurrent.train(docs)
+    assert len(known) == 2400 and net.v == 2402
+    got = {r.doc_id: r for r in recurrent.score(docs_of(spark, rare), known, net).collect()}
+    assert got[1000].n_tokens == got[1001].n_tokens and got[1000].perplexity < got[1001].perplexity / 10
+    spell = net.spell
+    for before in ((256, 256), (97, 98), (5, 6)):
+        assert sum(spell.likelihood((before[0] * 257 + before[1]) * 257 + c) for c in range(257)) == pytest.approx(1)

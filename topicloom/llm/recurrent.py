@@ -3,6 +3,8 @@
 Training takes every document once, in ROUNDS hash slices. In a round each task
 trains from the same weights on its share by truncated backpropagation; the
 results are averaged by words in the cluster, a stretch of the weights at a time.
+The vocabulary grows with the corpus. A word outside it is the token UNKNOWN and
+its spelling, byte for byte, by counts over the corpus.
 """
 
 from __future__ import annotations
@@ -11,17 +13,21 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 VOCABULARY, HIDDEN, WINDOW, LANES, ROUNDS = 1024, 16, 16, 256, 4
+#: Words that occur so often have weights of their own, as have the VOCABULARY - 2 most frequent ones; all others are spelled.
+MIN_COUNT = 100
+#: Spelled words a worker remembers; beyond it the memory starts anew. It bounds memory, never results.
+REMEMBERED = 200_000
 #: Words held by a task at a time; it bounds memory only.
 POOL = 4_000_000
 #: Stretch of the weights averaged by one row.
@@ -34,11 +40,49 @@ def words(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
+class Spelling:
+    """Likelihoods of words by the two bytes before each byte, backing off to one and none; EDGE stands before and after a word.
+
+    Made from the counts of byte triples, of which there are at most 257 ** 3 in a corpus of any size.
+    """
+
+    EDGE, WEIGHT = 256, 4.0
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        n2 = np.bincount(codes % 257**2, counts, 257**2).reshape(257, 257)
+        n1 = n2.sum(0)
+        one = (n1 + 1) / (n1.sum() + 257)
+        self.two = (n2 + self.WEIGHT * one) / (n2.sum(1, keepdims=True) + self.WEIGHT)
+        before = np.bincount(codes // 257, counts, 257**2)
+        self.rest = self.WEIGHT / (before + self.WEIGHT)
+        self.three = dict(zip(codes.tolist(), (counts / (before[codes // 257] + self.WEIGHT)).tolist(), strict=True))
+        self.known: dict[str, float] = {}
+
+    @classmethod
+    def codes(cls, word: str) -> list[int]:
+        x = [cls.EDGE, cls.EDGE, *word.encode("utf-8", "surrogatepass"), cls.EDGE]
+        return [(a * 257 + b) * 257 + c for a, b, c in zip(x, x[1:], x[2:], strict=False)]
+
+    def likelihood(self, code: int) -> float:
+        """Of the last byte of a triple after the first two."""
+        return self.three.get(code, 0.0) + float(self.rest[code // 257] * self.two[code // 257 % 257, code % 257])
+
+    def log(self, word: str) -> float:
+        """Log-likelihood of a word's bytes and its end."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            got = self.known[word] = sum(log(self.likelihood(c)) for c in self.codes(word))
+        return got
+
+
 class Net:
     """Weights are one vector; the word of rank r is in class r // width."""
 
     def __init__(self, vocabulary: int, hidden: int = HIDDEN, seed: int = 5, flat: np.ndarray | None = None):
         self.v, self.h = vocabulary, hidden
+        self.spell: Spelling | None = None
         self.width = max(1, int(np.ceil(np.sqrt(vocabulary))))
         self.classes = -(-vocabulary // self.width)
         shapes = {"x": (vocabulary, 3 * hidden), "u": (hidden, 3 * hidden), "bu": (3 * hidden,), "c": (hidden, self.classes), "bc": (self.classes,), "w": (self.classes, hidden, self.width), "bw": (self.classes, self.width)}
@@ -92,7 +136,7 @@ class Net:
         return hs, (tokens, gates, cand, inner)
 
     def losses(self, h: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-likelihood of each target given its state; with grad, also the loss's slope by state, and grad is filled."""
+        """Log-likelihood of each target given its state; with grad, also the loss's slope by state, and grad is filled, "w" for the targets' classes only."""
         p = self.p
         cls = targets // self.width
         # Sorting by counts is for short integers.
@@ -126,9 +170,7 @@ class Net:
             e /= total[:, None]
             e[rows, inside] -= 1
             dw = np.empty_like(h)
-            if len(there) < self.classes:
-                grad["w"][:] = 0
-                grad["bw"][:] = 0
+            grad["bw"][:] = 0
             for k in there:
                 a, b = bounds[k], bounds[k + 1]
                 np.matmul(e[a:b], p["w"][k].T, out=dw[a:b])
@@ -137,8 +179,8 @@ class Net:
             dh[order] += dw
         return ll, dh
 
-    def backward(self, hs: np.ndarray, kept: tuple, dh_out: np.ndarray, grad: dict) -> None:
-        """Slopes of the loss by the recurrent weights, back to the window's start and no further."""
+    def backward(self, hs: np.ndarray, kept: tuple, dh_out: np.ndarray, grad: dict) -> np.ndarray:
+        """Slopes of the loss by the recurrent weights, back to the window's start and no further. Returns the words whose rows of "x" are filled."""
         p, n = self.p, self.h
         tokens, gates, cand, inner = kept
         steps, lanes = tokens.shape
@@ -168,8 +210,8 @@ class Net:
         order = np.argsort(at.astype(np.uint16) if self.v <= 1 << 16 else at, kind="stable")
         at = at[order]
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        grad["x"][:] = 0
         grad["x"][at[first]] = np.add.reduceat(np.take(dgx.reshape(-1, 3 * n), order, axis=0), first, axis=0)
+        return at[first]
 
 
 def _lanes(sizes: np.ndarray, lanes: int, seed: int) -> list[list[int]]:
@@ -210,8 +252,7 @@ def run(net: Net, docs: list[np.ndarray], train: bool, rate: float = 0.01, lanes
     state = np.zeros((len(plan), net.h), np.float32)
     last = np.full(len(plan), END, np.int32)
     if train:
-        grad_flat = np.zeros_like(net.flat)
-        grad, m1, m2, some, step = net.views(grad_flat), np.zeros_like(net.flat), np.zeros_like(net.flat), np.empty_like(net.flat), 0
+        grad, m1, m2, step = (*(net.views(np.zeros_like(net.flat)) for _ in range(3)), 0)
     for k in range(windows[0]):
         n = live[k]
         targets = np.ascontiguousarray(words[:n, k * WINDOW : (k + 1) * WINDOW].T)
@@ -234,34 +275,39 @@ def run(net: Net, docs: list[np.ndarray], train: bool, rate: float = 0.01, lanes
                 dh_out = np.zeros((targets.size, net.h), np.float32)
                 dh_out[real] = dh
                 dh = dh_out
-            net.backward(hs, kept, dh.reshape(*targets.shape, net.h), grad)
-            grad_flat /= max(1, len(real))
-            norm = float(np.sqrt(grad_flat @ grad_flat))
-            if norm > 1:
-                grad_flat /= norm
+            rows = net.backward(hs, kept, dh.reshape(*targets.shape, net.h), grad)
+            classes = np.flatnonzero(np.bincount(targets.ravel()[real] // net.width, minlength=net.classes))
+            # Only what the window touches moves, so a step's cost doesn't follow the rows of the vocabulary.
+            at = {"x": rows, "w": classes} | {name: slice(None) for name in ("u", "bu", "c", "bc", "bw")}
+            slopes = {name: grad[name][i] / np.float32(max(1, len(real))) for name, i in at.items()}
+            norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in slopes.values())))
             step += 1
-            m1 *= 0.9
-            m2 *= 0.99
-            np.multiply(grad_flat, grad_flat, out=some)
-            some *= 0.01
-            m2 += some
-            grad_flat *= 0.1
-            m1 += grad_flat
-            np.multiply(m2, 1 / (1 - 0.99**step), out=some)
-            np.sqrt(some, out=some)
-            some += 1e-6
-            np.divide(m1, some, out=some)
-            some *= rate / (1 - 0.9**step)
-            net.flat -= some
             # Logits stay where exp is finite without a shift: states are within -1 and 1.
             most = 80 / (net.h + 1)
-            for name in ("w", "c", "bw", "bc"):
-                np.clip(net.p[name], -30 if name == "bw" else -most, most, out=net.p[name])
+            for name, i in at.items():
+                g = slopes[name]
+                if norm > 1:
+                    g /= norm
+                first, second = m1[name][i] * np.float32(0.9), m2[name][i] * np.float32(0.99)
+                first += np.float32(0.1) * g
+                g *= g
+                g *= 0.01
+                second += g
+                m1[name][i], m2[name][i] = first, second
+                second /= 1 - 0.99**step
+                np.sqrt(second, out=second)
+                second += 1e-6
+                first /= second
+                first *= rate / (1 - 0.9**step)
+                np.subtract(net.p[name][i], first, out=first)
+                if name in ("w", "c", "bw", "bc"):
+                    np.clip(first, -30 if name == "bw" else -most, most, out=first)
+                net.p[name][i] = first
     return out
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The size - 2 most frequent words over all texts, ties by the word."""
+def counted(texts: DataFrame) -> DataFrame:
+    """(word, n) over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -278,42 +324,73 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[str]:
                     yield out()
         yield out()
 
-    counts = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size - 2).collect()]
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame, size: int | None = None, min_count: int = MIN_COUNT) -> list[str]:
+    """The VOCABULARY - 2 most frequent words and all that occur min_count times, or with a size the size - 2 most frequent; ties by the word."""
+    by_count = counts.orderBy(F.desc("n"), "word")
+    top = [r[0] for r in by_count.limit((size or VOCABULARY) - 2).collect()]
+    if size or len(top) < VOCABULARY - 2:
+        return top
+    often = [r[0] for r in by_count.filter(F.col("n") >= min_count).collect()]
+    return max(top, often, key=len)
+
+
+def spelling(counts: DataFrame, known: list[str]) -> Spelling:
+    """The spelling of all words but the known ones, each as often as it occurs; triples are counted in the cluster."""
+    sent = counts.sparkSession.sparkContext.broadcast(frozenset(known))
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if word not in sent.value:
+                    for c in Spelling.codes(word):
+                        seen[c] += n
+        yield pa.record_batch([pa.array(list(seen.keys()), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
+
+    got = counts.mapInArrow(triples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    return Spelling(got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy().astype(float))
 
 
-def _pools(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and word ids of about POOL words of documents."""
-    keys, docs, total = [], [], 0
+def _pools(batches: Iterator[pa.RecordBatch], index: dict[str, int], spell: Spelling | None = None) -> Iterator[tuple[list, list[np.ndarray], list[float]]]:
+    """Keys, word ids and log-likelihoods of the spelled words of about POOL words of documents."""
+    keys, docs, spelled, total = [], [], [], 0
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = text.as_py()
             own = words(text) if text else []
             ids = np.fromiter(map(index.get, own, repeat(UNKNOWN)), np.int32, len(own))
             keys.append(key)
+            spelled.append(sum(spell.log(w) for w in own if w not in index) if spell else 0.0)
             docs.append(np.append(ids, np.int32(END)) if len(own) else ids)
             total += len(own)
             if total >= POOL:
-                yield keys, docs
-                keys, docs, total = [], [], 0
+                yield keys, docs, spelled
+                keys, docs, spelled, total = [], [], [], 0
     if keys:
-        yield keys, docs
+        yield keys, docs, spelled
 
 
-def train(docs: DataFrame, size: int = VOCABULARY, hidden: int = HIDDEN, rounds: int = ROUNDS, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], Net]:
-    """The vocabulary and the weights. All documents with words are counted and trained on; with none the weights are the initial ones."""
+def train(docs: DataFrame, size: int | None = None, hidden: int = HIDDEN, rounds: int = ROUNDS, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], Net]:
+    """The vocabulary and the weights, with the spelling of other words. All documents with words are counted and trained on; with none the weights are the initial ones."""
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).filter("text is not null")
-    known = vocabulary(plain, size)
+    counts = written(counted(plain), "words")
+    known = vocabulary(counts, size)
+    spell = spelling(counts, known)
     net = Net(len(known) + 2, hidden)
+    # A task's whole weights are shuffled, so there are as many tasks as cores.
+    cores = spark.sparkContext.defaultParallelism
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(known)}, net.flat, len(known) + 2, hidden))
 
         def fit(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             index, flat, v, h = sent.value
             own, total = Net(v, h, flat=flat.copy()), 0
-            for _, pool in _pools(batches, index):
+            for _, pool, _ in _pools(batches, index):
                 pool = [d for d in pool if len(d)]
                 run(own, pool, True, rate / (1 + turn))
                 total += sum(map(len, pool))
@@ -336,10 +413,13 @@ def train(docs: DataFrame, size: int = VOCABULARY, hidden: int = HIDDEN, rounds:
                 yield pa.record_batch([pa.array([now], pa.int32()), pa.array([sums], pa.list_(pa.float64())), pa.array([n])], ["part", "sums", "n"])
 
         kinds = "part int, sums array<double>, n double"
-        trained = plain.filter(F.pmod("k", F.lit(rounds)) == turn).select("k", "text").mapInArrow(fit, kinds)
-        got = trained.repartition("part").sortWithinPartitions("part").mapInArrow(add, kinds).collect()
-        if got:
-            net = Net(len(known) + 2, hidden, flat=reduce(lambda a, b: np.concatenate([a, b]), [np.array(r.sums) / r.n for r in sorted(got, key=lambda r: r.part)]))
+        trained = plain.filter(F.pmod("k", F.lit(rounds)) == turn).select("k", "text").coalesce(cores).mapInArrow(fit, kinds)
+        got = trained.repartition("part").sortWithinPartitions("part").mapInArrow(add, kinds).orderBy("part").toArrow()
+        if got.num_rows:
+            # The stretches stay arrays: as rows of Python numbers they take many times the weights' memory.
+            flat = np.concatenate([(sums.values.to_numpy() / n).astype(np.float32) for sums, n in zip(got.column(1), got.column(2).to_pylist(), strict=True)])
+            net = Net(len(known) + 2, hidden, flat=flat)
+    net.spell = spell
     return known, net
 
 
@@ -351,16 +431,17 @@ def score(docs: DataFrame, known: list[str], net: Net, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(known)}, net.flat, net.v, net.h))
+    sent = spark.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(known)}, net.flat, net.v, net.h, net.spell))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, flat, v, h = sent.value
+        index, flat, v, h, spell = sent.value
         own = Net(v, h, flat=flat)
-        for keys, pool in _pools(batches, index):
+        for keys, pool, spelled in _pools(batches, index, spell):
             some = [i for i, d in enumerate(pool) if len(d)]
             n, ll = np.array([len(d) for d in pool], np.int64), np.zeros(len(pool))
             ll[some] = run(own, [pool[i] for i in some], False)
+            ll += spelled
             yield pa.record_batch([pa.array(keys, kind), pa.array(n), pa.array(ll), pa.array(np.exp(np.minimum(-ll / np.maximum(n, 1), 700)), mask=n == 0)], [id_col, "n_tokens", "log_likelihood", "perplexity"])
 
     from pyspark.sql.pandas.types import to_arrow_type
