@@ -110,3 +110,22 @@ def test_layout_keeps_blobs_apart(spark):
     low = np.array([r.vec for r in reduce.neighbour_layout(frame(spark, x), 2, 8).orderBy("id").collect()])
     assert np.isfinite(low).all() and (np.linalg.norm(low, axis=1) <= 15.001).all()
     assert np.linalg.norm(low[y == 0].mean(0) - low[y == 1].mean(0)) > 3
+
+
+def test_layout_of_a_large_table_is_no_plain_projection(spark, monkeypatch):
+    """With every table a large one: the round of joins moves each point as the single task does where no draw is random."""
+    rng = np.random.default_rng(9)
+    n = 30
+    a, b = np.arange(n - 1), np.arange(1, n)
+    start = rng.normal(0, 3, (n, 2))
+    edges = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(a, b, strict=True)], "a long, b long, w double")
+    places = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(start)], "n long, vec array<double>")
+    got = np.array([r.vec for r in reduce.spread_layout(edges, places, 2, 2, negatives=0).orderBy("n").collect()])
+    assert np.allclose(got, reduce.layout((a, b, np.ones(n - 1)), start, 2, negatives=0), atol=1e-9) and not np.allclose(got, start)
+    y = np.repeat([0, 1], 20)
+    x = rng.normal(0, 0.3, (40, 4)) + y[:, None] * 6
+    monkeypatch.setattr(reduce, "MOST_SENT", 0)
+    low = np.array([r.vec for r in reduce.neighbour_layout(frame(spark, x), 2, 8, epochs=5).orderBy("id").collect()])
+    plain = np.array([r.vec for r in reduce.pca(frame(spark, x), 2).orderBy("id").collect()])
+    assert np.isfinite(low).all() and (np.linalg.norm(low, axis=1) <= 15.001).all()
+    assert not np.allclose(low, plain) and np.linalg.norm(low[y == 0].mean(0) - low[y == 1].mean(0)) > 3

@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import MOST_SENT, doubles, matrix, stabilize
+from ..sources.tables import settled
 from . import neighbors
 
+#: The curve for a least distance of 0.1.
+CURVE = 1.577, 0.895
+
 
 def components(points: DataFrame, k: int, vec_col: str = "vec") -> tuple[np.ndarray, np.ndarray]:
     """Mean and the k leading components; sums of products are made in the partitions and only they reach the driver."""
@@ -84,7 +88,7 @@ def layout(edges: tuple[np.ndarray, np.ndarray, np.ndarray], start: np.ndarray,
     a, b, w = edges
     rng = np.random.default_rng(seed)
     y = start.copy()
-    p, q = 1.577, 0.895  # the curve for a least distance of 0.1
+    p, q = CURVE
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
         on = rng.random(len(w)) < w / max(w.max(), 1e-12)
@@ -106,17 +110,58 @@ def layout(edges: tuple[np.ndarray, np.ndarray, np.ndarray], start: np.ndarray,
     return y
 
 
+def spread_layout(edges: DataFrame, start: DataFrame, k: int, epochs: int = 200, negatives: int = 5, seed: int = 42) -> DataFrame:
+    """(n, vec): layout() as rounds of joins over edges (a, b, w) and positions (n, vec), n from 0 on without gaps; the draws are hashes of edge and round."""
+    p, q = CURVE
+    edges, y, rows = settled(edges, "edges"), settled(start, "places"), start.count()
+    most = max(edges.agg(F.max("w")).first()[0] or 0.0, 1e-12)
+
+    def clipped(x: Column) -> Column:
+        return F.greatest(F.least(x, F.lit(4.0)), F.lit(-4.0))
+
+    for epoch in range(epochs):
+        rate = 1 - epoch / epochs
+        drawn = F.pmod(F.xxhash64("a", "b", F.lit(epoch), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        on = edges.filter(drawn < F.col("w") / most)
+        others = F.array(*[F.pmod(F.xxhash64("a", "b", F.lit(epoch), F.lit(seed), F.lit(j + 1)), F.lit(rows)) for j in range(negatives)])
+        pairs = on.select(F.col("a").alias("n"), F.col("b").alias("m"), F.lit(True).alias("near"))
+        pairs = pairs.union(pairs.select(F.col("m").alias("n"), F.col("n").alias("m"), "near"))
+        pairs = pairs.union(on.select(F.col("a").alias("n"), F.explode(others).alias("m"), F.lit(False).alias("near")))
+        both = pairs.join(y, "n").join(y.select(F.col("n").alias("m"), F.col("vec").alias("to")), "m")
+        both = both.withColumn("d", F.zip_with("vec", "to", lambda s, t: s - t)).withColumn("d2", F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x))
+        pull = -2 * p * q * F.pow(F.greatest("d2", F.lit(1e-12)), F.lit(q - 1)) / (1 + p * F.pow("d2", F.lit(q)))
+        push = 2 * q / ((0.001 + F.col("d2")) * (1 + p * F.pow("d2", F.lit(q))))
+        both = both.withColumn("f", F.when(F.col("near"), pull).otherwise(push))
+        moves = both.groupBy("n").agg(F.array(*[F.sum(clipped(F.col("f") * F.col("d")[c]) * rate) for c in range(k)]).alias("move"))
+        moved = F.when(F.col("move").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "move", lambda x, m: x + clipped(m)))
+        y = y.join(moves, "n", "left").select("n", moved.alias("vec"))
+        shrink = F.least(15 / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x) + 1e-8), F.lit(1.0))
+        y = settled(y.withColumn("s", shrink).select("n", F.transform("vec", lambda x: x * F.col("s")).alias("vec")), "places")
+    return y
+
+
 def neighbour_layout(points: DataFrame, k: int = 2, n_neighbors: int = 15, id_col: str = "id", vec_col: str = "vec", epochs: int = 200) -> DataFrame:
     """(id, vec): a layout of the fuzzy neighbour graph from the principal components.
 
-    Neighbours and memberships are found in the cluster. The layout itself is one
-    task on the graph's edges; where those would take more than MOST_SENT bytes the components are the result.
+    Neighbours and memberships are found in the cluster. The layout is one task on
+    the graph's edges, or beyond MOST_SENT bytes of them rounds of joins with the same moves and other random draws.
     """
     start = pca(points, k, id_col, vec_col)
     rows = points.count()
-    if rows * n_neighbors * 24 > MOST_SENT or rows < 3:
+    if rows < 3:
         return start
-    w = memberships(neighbors.knn(points, min(n_neighbors, rows - 1), id_col, vec_col)).toArrow()
+    near = memberships(neighbors.knn(points, min(n_neighbors, rows - 1), id_col, vec_col))
+    if rows * n_neighbors * 24 > MOST_SENT:
+        start = settled(start, "start")
+        ids = start.select(id_col).orderBy(id_col).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+        number = settled(points.sparkSession.createDataFrame(ids, f"id {start.schema[id_col].dataType.simpleString()}, n long"), "numbers")
+        most = max(start.select(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0], 1e-12)
+        placed = start.withColumnRenamed(id_col, "id").join(number, "id").select("n", F.transform("vec", lambda x: x / most * 10).alias("vec"))
+        a, b = (number.select(F.col("id").alias(c), F.col("n").alias("n" + c)) for c in "ab")
+        edges = near.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "w")
+        done = spread_layout(edges, placed, k, epochs).join(number, "n").select(F.col("id").alias(id_col), "vec")
+        return stabilize(done, "vec", "vec")
+    w = near.toArrow()
     first = start.orderBy(id_col).toArrow().combine_chunks()
     ids = first.column(0).to_numpy()
     y = matrix(first.column(1).chunk(0))
