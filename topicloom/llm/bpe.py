@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -18,8 +20,10 @@ from .common import list_array, small_batches
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits a text before merging; no merge crosses a piece.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew. It bounds memory, never results.
-REMEMBERED = 150_000
+#: The same pieces of a text of ASCII characters only, in the faster standard expressions.
+ASCII_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+#: Pieces whose ids a worker remembers; beyond it the later half is forgotten, since frequent pieces are met first. It bounds memory, never results.
+REMEMBERED = 500_000
 
 
 class Codec:
@@ -32,18 +36,20 @@ class Codec:
         self.ranks = ranks
         self.bytes = {i: t for t, i in ranks.items()}
         self.piece = regex.compile(pattern)
+        self.plain = re.compile(ASCII_PIECES) if pattern == PIECES else None
         self.text = {t.decode("latin-1"): i for t, i in ranks.items()}
-        self.words = {i: t for t, i in self.text.items()}
         a = ahocorasick.Automaton()
         for t, i in self.text.items():
             a.add_word(t, i)
         a.make_automaton()
         self.automaton = a
         self.window = max(map(len, ranks))
+        self.ids = max(ranks.values()) + 1
         self.split = self._splits()
-        self.shorter = self._prefixes()
+        self.size, self.shorter = [0] * self.ids, [-1] * self.ids
+        self.longest = self._longest()
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _splits(self) -> dict[int, tuple[int, int]]:
         """The two tokens whose merge makes each token: the last merge when it is encoded by the rules."""
@@ -65,16 +71,24 @@ class Codec:
                 out[i] = (self.ranks[parts[0]], self.ranks[parts[1]])
         return out
 
-    def _prefixes(self) -> dict[int, int]:
-        """The longest token that is a proper prefix of each token; -1 for none."""
-        out = {}
-        for t, i in self.text.items():
-            out[i] = next((self.text[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.text), -1)
+    def _longest(self) -> dict[str, int]:
+        """The longest token that each beginning of a token starts with; lengths of the tokens, and the next shorter token of each, -1 for none, are filled in."""
+        out: dict[str, int] = {}
+        for t, i in sorted(self.text.items()):
+            self.size[i] = len(t)
+            token = -1
+            for k in range(1, len(t) + 1):
+                head = t[:k]
+                if k == len(t):
+                    self.shorter[i] = token
+                token = self.text.get(head, token)
+                if token != -1:
+                    out[head] = token
         return out
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merge rules leave these two tokens side by side; remembered."""
-        key = left << 20 | right
+        key = left * self.ids + right
         known = self.fits.get(key)
         if known is None:
             known = self.fits[key] = self._compatible(left, right)
@@ -110,56 +124,67 @@ class Codec:
                 if b + 1 == limit:
                     return True
 
-    def longest(self, text: str, at: int) -> int:
-        """The longest token at a place of the text; every byte is a token."""
-        n = self.automaton.longest_prefix(text[at : at + self.window])
-        while n > 1 and text[at : at + n] not in self.text:
-            n -= 1
-        return self.text[text[at : at + n]]
-
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         text = piece.decode("latin-1")
-        n = len(text)
+        n, window, prefix, longest, size, shorter, fits, ids = len(text), self.window, self.automaton.longest_prefix, self.longest, self.size, self.shorter, self.fits, self.ids
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token = 0, self.longest(text, 0)
-        while token != -1:
-            while True:
-                end = at + len(self.words[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    at = end
-                    token = self.longest(text, at) if at < n else -1
-                    break
-                shorter = self.shorter[token]
-                if shorter != -1:
-                    token = shorter
-                    continue
+        at, last = 0, -1
+        token = longest[text[: prefix(text[:window])]]
+        while True:
+            # Tokens from the longest on that start here; none of one byte is missing, so one is there at every place.
+            while token != -1:
+                end = at + size[token]
+                if not dead[end]:
+                    if last == -1:
+                        break
+                    fit = fits.get(last * ids + token)
+                    if fit or (fit is None and self.compatible(last, token)):
+                        break
+                token = shorter[token]
+            if token != -1:
+                out.append(token)
+                if end == n:
+                    return out
+                at, last = end, token
+                rest = text[at : at + window]
+                token = longest[rest[: prefix(rest)]]
+            else:
                 # No token fits here: this place can't be reached, so step back.
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.words[token])
-                shorter = self.shorter[token]
-                if shorter == -1:
-                    continue
-                token = shorter
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for p in self.piece.findall(text):
+                at -= size[token]
+                last = out[-1] if out else -1
+                token = shorter[token]
+
+    def array(self, text: str) -> np.ndarray:
+        """The ids of a text's tokens."""
+        pieces = (self.plain if self.plain is not None and text.isascii() else self.piece).findall(text)
+        known = self.known
+        parts = list(map(known.get, pieces))
+        at = -1
+        while True:
+            try:
+                at = parts.index(None, at + 1)
+            except ValueError:
+                break
+            p = pieces[at]
+            # The piece may have been met since, further up in this text.
             ids = known.get(p)
             if ids is None:
                 if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = tuple(self.encode_piece(p.encode()))
+                    known = self.known = dict(islice(known.items(), REMEMBERED // 2))
+                ids = np.array(self.encode_piece(p.encode()), np.int32).tobytes()
                 if len(p) <= 64:
                     known[p] = ids
-            out += ids
-        return out
+            parts[at] = ids
+        return np.frombuffer(b"".join(parts), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.array(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -196,10 +221,10 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             for k, x in enumerate(b.column(1)):
                 text = x.as_py()
                 if text:
-                    ids = c.encode(text)
-                    same[k] = c.decode(ids) == text.encode()
+                    ids = c.array(text)
+                    same[k] = c.decode(ids.tolist()) == text.encode()
                     counts[k] = len(ids)
-                    flat.append(np.array(ids, np.int32))
+                    flat.append(ids)
             values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
             null = b.column(1).is_null()
             offsets = np.concatenate([[0], np.cumsum(counts)])
