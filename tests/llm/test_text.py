@@ -88,6 +88,23 @@ def test_ids_are_those_of_the_merge_rules(path):
         assert ids == enc.encode_ordinary(t) and c.decode(ids) == t.encode()
 
 
+def test_ids_stay_when_the_memory_is_cut(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    c, enc, rng = bpe.Codec(bpe.load_ranks()), library(), np.random.default_rng(9)
+    for _ in range(60):
+        t = " ".join("".join(rng.choice(list("abcdeinorst"), int(rng.integers(1, 12)))) for _ in range(40)) + "\t\r\n \x1c x 12ab_!? é"
+        assert c.encode(t) == enc.encode_ordinary(t) and c.encode(t[:-2]) == enc.encode_ordinary(t[:-2])
+    assert len(c.known) <= 50
+
+
+def test_long_tokens_alone_and_next_to_each_other():
+    c, enc = bpe.codec(), library()
+    long = [t.decode() for t in c.ranks if len(t) > 32 and t.decode(errors="replace").encode() == t]
+    for t in long:
+        for u in ("", *long):
+            assert c.encode(t + u) == enc.encode_ordinary(t + u)
+
+
 @pytest.mark.parametrize("path", [bpe.RANKS, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"])
 def test_runs_longer_than_64_bytes_have_the_ids_of_the_merge_rules(path):
     c, enc = bpe.codec(path), library(path)
@@ -121,7 +138,7 @@ def test_masks_by_characters(spark):
     rows = [(c, k, ["system", "user", "assistant"][int(rng.integers(0, 3))], texts[int(rng.integers(0, len(texts)))]) for c in range(20) for k in range(int(rng.integers(1, 7)))]
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(chat.TOKENIZER)
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     for r in chat.training_rows(turn_frame(spark, rows)).collect():
         turns = [(role, text) for c, _, role, text in rows if c == r.conv_id]
