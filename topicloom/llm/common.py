@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,42 +9,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled, shared_folder, spread
+
 #: One run of letters, digits and underscores is a word, in Java's regular expressions and DuckDB's.
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in plain local mode a temporary one if that is unset."""
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_dir is None:
-        import atexit
-
-        _local_dir = tempfile.mkdtemp(prefix="topicloom-")
-        atexit.register(shutil.rmtree, _local_dir, True)
-    return f"file://{_local_dir}"
-
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: the lineage ends there and executors may be lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The same rows from a table in the shared folder: the lineage ends there and executors may be lost.
+written = settled
+
+
+def id_kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): the smallest id that is connected to each id of the edges (a, b).
+
+    Labels of neighbours spread and are followed to their own labels in each
+    round, whose result is written, so that no lineage grows.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        better = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        up = better.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        moved = written(better.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("was")).alias("moved")), "labels")
+        labels = moved.select("id", "root")
+        if moved.filter("moved").isEmpty():
+            return labels
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -86,6 +86,4 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; its rows over all cores where the files have fewer splits than that, as a single small file has."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

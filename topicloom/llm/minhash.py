@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, lists, mix, small_batches, word_hashes, written
+from .common import components, list_array, lists, mix, small_batches, word_hashes, written
 
 WORDS = 3
 THRESHOLD = 0.5
@@ -145,24 +145,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return there.mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that is connected to each id of the edges (a, b).
-
-    Labels of neighbours spread and are followed to their own labels in each
-    round, whose result is written, so that no lineage grows.
-    """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        better = labels.join(near, "id").select("id", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        up = better.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        moved = written(better.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("was")).alias("moved")), "labels")
-        labels = moved.select("id", "root")
-        if moved.filter("moved").isEmpty():
-            return labels
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of each document that has near copies: connected by pairs of Jaccard similarity threshold or more over WORDS-word shingles; group_id is the smallest doc_id.
 
