@@ -199,14 +199,40 @@ def test_language_model_at_the_edges(spark):
     assert recurrent.log_likelihoods(docs_of(spark, [])).count() == 0
 
 
-def test_vocabulary_follows_the_corpus_and_rare_words_are_spelled(spark):
-    often = [(i, " ".join(f"w{k}" for k in range(i % 2, 2400, 2))) for i in range(2 * recurrent.MIN_COUNT)]
-    rare = [(1000, "abcab abcabc bcabca"), (1001, "xqzjv kwvzq zzqxj"), (1002, "abcabd")]
+def test_rare_words_are_spelled(spark):
+    often = [(i, " ".join(f"w{k}" for k in range(i % 2, 2400, 2))) for i in range(60)]
+    rare = [(1000, "abcab abcabc bcabca"), (1001, "xqzjv kwvzq zzqxj"), (1002, "abcabd"), (1003, "w1 w3 w5"), (1004, "é")]
     docs = docs_of(spark, often + [(2000 + i, "abcabc abcab cabca") for i in range(9)] + rare)
     known, net = recurrent.train(docs)
-    assert len(known) == 2400 and net.v == 2402
+    assert len(known) == 2046 and net.v == 2048
     got = {r.doc_id: r for r in recurrent.score(docs_of(spark, rare), known, net).collect()}
-    assert got[1000].n_tokens == got[1001].n_tokens and got[1000].perplexity < got[1001].perplexity / 10
+    assert got[1000].n_tokens == got[1001].n_tokens and got[1003].perplexity < got[1000].perplexity < got[1001].perplexity / 10
     spell = net.spell
     for before in ((256, 256), (97, 98), (5, 6)):
-        assert sum(spell.likelihood((before[0] * 257 + before[1]) * 257 + c) for c in range(257)) == pytest.approx(1)
+        assert sum(spell.likelihood((before[0] * 257 + before[1]) * 257 + c) for c in range(257)) == pytest.approx(1, abs=1e-5)
+
+
+def test_spelling_by_single_bytes():
+    some = ["abc", "a", "é", "abca", "x" * 300, "b"]
+    code, at = recurrent.Spelling.codes(some)
+    for k, w in enumerate(some):
+        x = [256, 256, *w.encode(), 256]
+        assert code[at[k] : at[k + 1]].tolist() == [(a * 257 + b) * 257 + c for a, b, c in zip(x, x[1:], x[2:], strict=False)]
+    own, n = np.unique(code, return_counts=True)
+    spell = recurrent.Spelling(own, n.astype(float))
+    logs = [sum(float(spell.table[c]) for c in code[at[k] : at[k + 1]]) for k in range(len(some))]
+    assert spell.logs(some) == pytest.approx(logs, rel=1e-5) and len(spell.logs([])) == 0
+
+
+def test_partitions_do_not_matter(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    a, b = ({r.doc_id: r.log_likelihood for r in recurrent.log_likelihoods(docs.repartition(n), shard=50_000).collect()} for n in (2, 16))
+    assert len(a) == 1000 and all(abs(a[i] - b[i]) <= 1e-5 * (1 + abs(a[i])) for i in a)
+
+
+def test_plain_text_is_likelier_than_nonsense(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    known, net = recurrent.train(docs.filter("doc_id % 2 = 0"))
+    held = recurrent.score(docs.filter("doc_id % 2 = 1 and length(text) > 300"), known, net)
+    odd = docs_of(spark, [(k, " ".join(f"{c}qxzj{c}{c}kvw" for c in "bdfghjklmnp")) for k in range(3)])
+    assert recurrent.score(odd, known, net).agg({"perplexity": "min"}).first()[0] > held.selectExpr("percentile(perplexity, 0.95)").first()[0]

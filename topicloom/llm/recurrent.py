@@ -1,10 +1,10 @@
 """LM scoring: a gated recurrent word model trained on the corpus, with a class-factored softmax and state carried over windows.
 
-Training takes every document once, in ROUNDS hash slices. In a round each task
-trains from the same weights on its share by truncated backpropagation; the
-results are averaged by words in the cluster, a stretch of the weights at a time.
-The vocabulary grows with the corpus. A word outside it is the token UNKNOWN and
-its spelling, byte for byte, by counts over the corpus.
+Texts are turned into word ids once, in a written table. Training takes every document once, in ROUNDS hash slices of shards. A shard is of
+about SHARD words by the hash of its documents, whatever the table's partitions; in a round each shard
+is trained from the same weights by truncated backpropagation, and the results are averaged by words in the cluster, in the order of shards and
+a stretch of the weights at a time. The VOCABULARY - 2 most frequent words have weights of their own. Any other word is one token and
+its spelling, byte for byte, by counts of byte triples over all such words of the corpus, so no word is unknown. What is scored are the runs of letters and digits.
 """
 
 from __future__ import annotations
@@ -14,26 +14,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import id_kind, list_array, lists, small_batches, written
 
-VOCABULARY, HIDDEN, WINDOW, LANES, ROUNDS = 1024, 16, 16, 256, 4
-#: Words that occur so often have weights of their own, as have the VOCABULARY - 2 most frequent ones; all others are spelled.
-MIN_COUNT = 100
-#: Spelled words a worker remembers; beyond it the memory starts anew. It bounds memory, never results.
-REMEMBERED = 200_000
+VOCABULARY, HIDDEN, WINDOW, LANES, ROUNDS = 2048, 16, 16, 512, 4
+#: Words of a shard, on the average, and of a lane's stretch in training; a longer document is trained on in several lanes. Scoring never cuts a document.
+SHARD, STRETCH_WORDS = 2_000_000, 1024
 #: Words held by a task at a time; it bounds memory only.
 POOL = 4_000_000
 #: Stretch of the weights averaged by one row.
 STRETCH = 4096
 END, UNKNOWN = 0, 1
 _word = re.compile(r"[^\W_]+")
+_spellings: dict[int, tuple] = {}
 
 
 def words(text: str) -> list[str]:
@@ -41,7 +39,7 @@ def words(text: str) -> list[str]:
 
 
 class Spelling:
-    """Likelihoods of words by the two bytes before each byte, backing off to one and none; EDGE stands before and after a word.
+    """Log-likelihoods of words by the two bytes before each byte, backing off to one and none; EDGE stands before and after a word.
 
     Made from the counts of byte triples, of which there are at most 257 ** 3 in a corpus of any size.
     """
@@ -49,32 +47,45 @@ class Spelling:
     EDGE, WEIGHT = 256, 4.0
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.made_of = codes, counts
         n2 = np.bincount(codes % 257**2, counts, 257**2).reshape(257, 257)
         n1 = n2.sum(0)
         one = (n1 + 1) / (n1.sum() + 257)
-        self.two = (n2 + self.WEIGHT * one) / (n2.sum(1, keepdims=True) + self.WEIGHT)
+        two = (n2 + self.WEIGHT * one) / (n2.sum(1, keepdims=True) + self.WEIGHT)
         before = np.bincount(codes // 257, counts, 257**2)
-        self.rest = self.WEIGHT / (before + self.WEIGHT)
-        self.three = dict(zip(codes.tolist(), (counts / (before[codes // 257] + self.WEIGHT)).tolist(), strict=True))
-        self.known: dict[str, float] = {}
+        rest = self.WEIGHT / (before + self.WEIGHT)
+        table = rest.astype(np.float32).reshape(257, 257, 1) * two.astype(np.float32)[None, :, :]
+        table = table.ravel()
+        table[codes] += (counts / (before[codes // 257] + self.WEIGHT)).astype(np.float32)
+        self.table = np.log(table, out=table)
 
     @classmethod
-    def codes(cls, word: str) -> list[int]:
-        x = [cls.EDGE, cls.EDGE, *word.encode("utf-8", "surrogatepass"), cls.EDGE]
-        return [(a * 257 + b) * 257 + c for a, b, c in zip(x, x[1:], x[2:], strict=False)]
+    def codes(cls, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The triples of several words, one after another, and where each word's begin."""
+        if not some:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        # No word holds the byte 0, so it can stand for the edges: two before a word and one after it.
+        x = np.frombuffer(("\0\0" + "\0\0\0".join(some) + "\0").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
+        x[x == 0] = cls.EDGE
+        code = (x[:-2] * 257 + x[1:-1]) * 257 + x[2:]
+        # Triples that span two words: those whose last byte is a word's first or second edge.
+        inner = np.ones(len(code), bool)
+        ends = np.flatnonzero((x[:-2] != cls.EDGE) & (x[1:-1] == cls.EDGE) & (x[2:] == cls.EDGE))
+        inner[ends] = False
+        inner[np.minimum(ends + 1, len(code) - 1)] &= ~(x[np.minimum(ends + 3, len(x) - 1)] == cls.EDGE)
+        code = code[inner]
+        starts = np.flatnonzero(code // 257 == cls.EDGE * 257 + cls.EDGE)
+        return code, np.append(starts, len(code))
 
     def likelihood(self, code: int) -> float:
         """Of the last byte of a triple after the first two."""
-        return self.three.get(code, 0.0) + float(self.rest[code // 257] * self.two[code // 257 % 257, code % 257])
+        return float(np.exp(self.table[code]))
 
-    def log(self, word: str) -> float:
-        """Log-likelihood of a word's bytes and its end."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[word] = sum(log(self.likelihood(c)) for c in self.codes(word))
-        return got
+    def logs(self, some: list[str]) -> np.ndarray:
+        """Log-likelihood of each word's bytes and its end."""
+        code, at = self.codes(some)
+        total = np.concatenate([[0.0], np.cumsum(self.table[code], dtype=np.float64)])
+        return total[at[1:]] - total[at[:-1]]
 
 
 class Net:
@@ -327,14 +338,9 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, size: int | None = None, min_count: int = MIN_COUNT) -> list[str]:
-    """The VOCABULARY - 2 most frequent words and all that occur min_count times, or with a size the size - 2 most frequent; ties by the word."""
-    by_count = counts.orderBy(F.desc("n"), "word")
-    top = [r[0] for r in by_count.limit((size or VOCABULARY) - 2).collect()]
-    if size or len(top) < VOCABULARY - 2:
-        return top
-    often = [r[0] for r in by_count.filter(F.col("n") >= min_count).collect()]
-    return max(top, often, key=len)
+def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> list[str]:
+    """The size - 2 most frequent words, ties by the word."""
+    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size - 2).collect()]
 
 
 def spelling(counts: DataFrame, known: list[str]) -> Spelling:
@@ -342,115 +348,178 @@ def spelling(counts: DataFrame, known: list[str]) -> Spelling:
     sent = counts.sparkSession.sparkContext.broadcast(frozenset(known))
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if word not in sent.value:
-                    for c in Spelling.codes(word):
-                        seen[c] += n
-        yield pa.record_batch([pa.array(list(seen.keys()), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
+            keep = [(w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in sent.value]
+            if keep:
+                code, at = Spelling.codes([w for w, _ in keep])
+                own, where = np.unique(code, return_inverse=True)
+                n = np.bincount(where, np.repeat([float(n) for _, n in keep], np.diff(at)))
+                yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(n.astype(np.int64))], ["code", "n"])
 
     got = counts.mapInArrow(triples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
     return Spelling(got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy().astype(float))
 
 
-def _pools(batches: Iterator[pa.RecordBatch], index: dict[str, int], spell: Spelling | None = None) -> Iterator[tuple[list, list[np.ndarray], list[float]]]:
-    """Keys, word ids and log-likelihoods of the spelled words of about POOL words of documents."""
-    keys, docs, spelled, total = [], [], [], 0
-    for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            text = text.as_py()
-            own = words(text) if text else []
-            ids = np.fromiter(map(index.get, own, repeat(UNKNOWN)), np.int32, len(own))
-            keys.append(key)
-            spelled.append(sum(spell.log(w) for w in own if w not in index) if spell else 0.0)
-            docs.append(np.append(ids, np.int32(END)) if len(own) else ids)
-            total += len(own)
-            if total >= POOL:
-                yield keys, docs, spelled
-                keys, docs, spelled, total = [], [], [], 0
-    if keys:
-        yield keys, docs, spelled
+def _spelled(sent) -> tuple[dict[str, int], Spelling]:
+    """Made once in a Python worker, however many tasks it runs."""
+    key = id(sent.value)
+    if key not in _spellings:
+        _spellings.clear()
+        known, codes, counts = sent.value
+        _spellings[key] = sent.value, {w: i + 2 for i, w in enumerate(known)}, Spelling(codes, counts)
+    return _spellings[key][1:]
 
 
-def train(docs: DataFrame, size: int | None = None, hidden: int = HIDDEN, rounds: int = ROUNDS, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], Net]:
-    """The vocabulary and the weights, with the spelling of other words. All documents with words are counted and trained on; with none the weights are the initial ones."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    plain = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).filter("text is not null")
-    counts = written(counted(plain), "words")
-    known = vocabulary(counts, size)
-    spell = spelling(counts, known)
-    net = Net(len(known) + 2, hidden)
-    # A task's whole weights are shuffled, so there are as many tasks as cores.
-    cores = spark.sparkContext.defaultParallelism
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(known)}, net.flat, len(known) + 2, hidden))
+def tokenised(docs: DataFrame, known: list[str], spell: Spelling, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, ids, spelled) of every row: a hash of id and text, the word ids with END after them, none for a text without words, and the log-likelihood of the spelled words."""
+    sent = docs.sparkSession.sparkContext.broadcast((known, *spell.made_of))
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, spell = _spelled(sent)
+        for b in batches:
+            each, rare, counts = [], [], np.zeros(b.num_rows, np.int64)
+            for k, text in enumerate(b.column(2)):
+                text = text.as_py()
+                own = words(text) if text else []
+                ids = np.empty(len(own) + bool(own), np.int32)
+                if own:
+                    ids[:-1] = np.fromiter(map(index.get, own, repeat(UNKNOWN)), np.int32, len(own))
+                    ids[-1] = END
+                    other = [own[i] for i in np.flatnonzero(ids == UNKNOWN).tolist()]
+                    counts[k] = len(other)
+                    rare += other
+                each.append(ids)
+            total = np.concatenate([[0.0], np.cumsum(spell.logs(rare))])
+            to = np.concatenate([[0], np.cumsum(counts)])
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
+            yield pa.record_batch([b.column(0), b.column(1), list_array(np.concatenate(each) if each else np.zeros(0, np.int32), bounds), pa.array(total[to[1:]] - total[to[:-1]])], ["id", "k", "ids", "spelled"])
+
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).mapInArrow(turn, f"id {id_kind(docs, id_col)}, k long, ids array<int>, spelled double")
+
+
+def fitted(tokens: DataFrame, size: int, hidden: int, rounds: int, rate: float, shard: int) -> Net:
+    """The weights after all rounds; without words they are the initial ones. Rows repeated whole are trained on once."""
+    spark = tokens.sparkSession
+    net = Net(size, hidden)
+    total = tokens.agg(F.sum(F.size("ids"))).first()[0] or 0
+    shards = max(1, round(total / rounds / shard))
+    # Half of the hash's bits choose the round and the rest the shard, so neither depends on the table's partitions.
+    parts = tokens.filter(F.size("ids") > 0).select(F.pmod(F.shiftright("k", 32), F.lit(rounds)).alias("turn"), F.pmod("k", F.lit(shards)).alias("shard"), "k", "ids")
+    for turn in range(rounds if total else 0):
+        sent = spark.sparkContext.broadcast((net.flat, size, hidden))
 
         def fit(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            index, flat, v, h = sent.value
-            own, total = Net(v, h, flat=flat.copy()), 0
-            for _, pool, _ in _pools(batches, index):
-                pool = [d for d in pool if len(d)]
-                run(own, pool, True, rate / (1 + turn))
-                total += sum(map(len, pool))
-            if total:
-                parts = [own.flat[a : a + STRETCH].astype(np.float64) for a in range(0, len(own.flat), STRETCH)]
-                yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([p * total for p in parts], pa.list_(pa.float64())), pa.array([float(total)] * len(parts))], ["part", "sums", "n"])
+            flat, v, h = sent.value
+            now, last, own, pool, held, total = None, None, None, [], 0, 0
+
+            def train() -> None:
+                nonlocal pool, held, total
+                run(own, [d[a : a + STRETCH_WORDS] for d in pool for a in range(0, len(d), STRETCH_WORDS)], True, rate / (1 + turn))
+                total, pool, held = total + held, [], 0
+
+            def out() -> pa.RecordBatch:
+                train()
+                parts = [own.flat[a : a + STRETCH].astype(np.float64) * total for a in range(0, len(own.flat), STRETCH)]
+                return pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([now] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64())), pa.array([float(total)] * len(parts))], ["part", "shard", "sums", "n"])
+
+            for b in batches:
+                values, offsets = lists(b.column(2))
+                for i, (s, k) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                    if s != now:
+                        if now is not None:
+                            yield out()
+                        now, last, own, total = s, None, Net(v, h, flat=flat.copy()), 0
+                    if k == last:
+                        continue
+                    last = k
+                    pool.append(values[offsets[i] : offsets[i + 1]])
+                    held += len(pool[-1])
+                    if held >= POOL:
+                        train()
+            if now is not None:
+                yield out()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, sums, n = None, None, 0.0
             for b in batches:
-                for part, s, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                for part, s, m in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                     x = s.values.to_numpy()
                     if part == now:
                         sums, n = sums + x, n + m
                     else:
                         if now is not None:
-                            yield pa.record_batch([pa.array([now], pa.int32()), pa.array([sums], pa.list_(pa.float64())), pa.array([n])], ["part", "sums", "n"])
+                            yield pa.record_batch([pa.array([now], pa.int32()), pa.array([sums / n], pa.list_(pa.float64()))], ["part", "mean"])
                         now, sums, n = part, x, m
             if now is not None:
-                yield pa.record_batch([pa.array([now], pa.int32()), pa.array([sums], pa.list_(pa.float64())), pa.array([n])], ["part", "sums", "n"])
+                yield pa.record_batch([pa.array([now], pa.int32()), pa.array([sums / n], pa.list_(pa.float64()))], ["part", "mean"])
 
-        kinds = "part int, sums array<double>, n double"
-        trained = plain.filter(F.pmod("k", F.lit(rounds)) == turn).select("k", "text").coalesce(cores).mapInArrow(fit, kinds)
-        got = trained.repartition("part").sortWithinPartitions("part").mapInArrow(add, kinds).orderBy("part").toArrow()
+        placed = parts.filter(F.col("turn") == turn).select("shard", "k", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "k")
+        trained = placed.mapInArrow(fit, "part int, shard long, sums array<double>, n double")
+        got = trained.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(add, "part int, mean array<double>").orderBy("part").toArrow()
         if got.num_rows:
-            # The stretches stay arrays: as rows of Python numbers they take many times the weights' memory.
-            flat = np.concatenate([(sums.values.to_numpy() / n).astype(np.float32) for sums, n in zip(got.column(1), got.column(2).to_pylist(), strict=True)])
-            net = Net(len(known) + 2, hidden, flat=flat)
+            net = Net(size, hidden, flat=np.concatenate([m.values.to_numpy().astype(np.float32) for m in got.column(1)]))
+    return net
+
+
+def _prepared(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[list[str], Spelling, DataFrame]:
+    small_batches(docs.sparkSession)
+    counts = written(counted(docs.select(F.col(text_col).alias("text")).filter("text is not null")), "words")
+    known = vocabulary(counts, size)
+    spell = spelling(counts, known)
+    return known, spell, written(tokenised(docs, known, spell, id_col, text_col), "tokens")
+
+
+def train(docs: DataFrame, size: int = VOCABULARY, hidden: int = HIDDEN, rounds: int = ROUNDS, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> tuple[list[str], Net]:
+    """The vocabulary and the weights, with the spelling of other words. All documents with words are counted and trained on; with none the weights are the initial ones."""
+    known, spell, tokens = _prepared(docs, size, id_col, text_col)
+    net = fitted(tokens, len(known) + 2, hidden, rounds, rate, shard)
     net.spell = spell
     return known, net
 
 
-def score(docs: DataFrame, known: list[str], net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_likelihood, perplexity) of every row: the words and the end of its whole text.
-
-    Null texts and texts without words have 0 tokens, log-likelihood 0 and null
-    perplexity. Rows with a null id and repeated rows are scored each.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(({w: i + 2 for i, w in enumerate(known)}, net.flat, net.v, net.h, net.spell))
-    id_type = docs.schema[id_col].dataType.simpleString()
+def scored(tokens: DataFrame, net: Net, id_col: str) -> DataFrame:
+    """The scores of tokenised rows."""
+    kind = id_kind(tokens, "id")
+    sent = tokens.sparkSession.sparkContext.broadcast((net.flat, net.v, net.h))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, flat, v, h, spell = sent.value
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, v, h = sent.value
         own = Net(v, h, flat=flat)
-        for keys, pool, spelled in _pools(batches, index, spell):
-            some = [i for i, d in enumerate(pool) if len(d)]
-            n, ll = np.array([len(d) for d in pool], np.int64), np.zeros(len(pool))
-            ll[some] = run(own, [pool[i] for i in some], False)
-            ll += spelled
-            yield pa.record_batch([pa.array(keys, kind), pa.array(n), pa.array(ll), pa.array(np.exp(np.minimum(-ll / np.maximum(n, 1), 700)), mask=n == 0)], [id_col, "n_tokens", "log_likelihood", "perplexity"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            values, offsets = lists(rows.column(1))
+            n = np.diff(offsets)
+            some = np.flatnonzero(n)
+            ll = rows.column(2).to_numpy().copy()
+            ll[some] += run(own, [values[offsets[i] : offsets[i + 1]] for i in some], False)
+            return pa.record_batch([rows.column(0), pa.array(n), pa.array(ll), pa.array(np.exp(np.minimum(-ll / np.maximum(n, 1), 700)), mask=n == 0)], [id_col, "n_tokens", "log_likelihood", "perplexity"])
+
+        held, total = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                total += len(b.column(1).flatten())
+            if total >= POOL:
+                yield out(held)
+                held, total = [], 0
+        if held:
+            yield out(held)
+
+    return tokens.select("id", "ids", "spelled").mapInArrow(work, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, perplexity double")
+
 
-    kind = to_arrow_type(docs.schema[id_col].dataType)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scored, f"`{id_col}` {id_type}, n_tokens long, log_likelihood double, perplexity double")
+def score(docs: DataFrame, known: list[str], net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, log_likelihood, perplexity) of every row: the words and the end of its whole text, of any length.
+
+    Null texts and texts without words have 0 tokens, log-likelihood 0 and null
+    perplexity. Rows with a null id and repeated rows are scored each; an empty table gives none. Other columns are not looked at, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    return scored(tokenised(docs, known, net.spell, id_col, text_col), net, id_col)
 
 
-def log_likelihoods(docs: DataFrame, **params) -> DataFrame:
-    """score() of the documents by a model trained on all of them."""
-    known, net = train(docs, **params)
-    return score(docs, known, net)
+def log_likelihoods(docs: DataFrame, size: int = VOCABULARY, hidden: int = HIDDEN, rounds: int = ROUNDS, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """score() of the documents by a model trained on all of them. The result doesn't depend on how the rows are partitioned, but for the rounding of sums."""
+    known, spell, tokens = _prepared(docs, size, id_col, text_col)
+    return scored(tokens, fitted(tokens, len(known) + 2, hidden, rounds, rate, shard), id_col)
