@@ -112,20 +112,23 @@ def test_pairs_at_the_threshold_meet_in_nine_of_ten_cases():
 
 
 def brute_spans(rows, least):
-    """Every run of whole units with least words or more is looked up among all earlier ones."""
+    """Every line, and every least run of whole units with least words or more from a unit's start or back from a line's end, is looked up among all earlier ones."""
     seen, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", text)]
-        fresh = []
+        if not words:
+            continue
+        fresh, broken = [], []
         for n, (s, _, w) in enumerate(words):
             gap = text[words[n - 1][1] : s] if n else ""
+            broken.append(n == 0 or "\n" in gap)
             fresh.append(n == 0 or "\n" in gap or (bool(re.search(r"\s", gap)) and (bool(re.search(r"[.!?]", gap)) or w[0].isupper())))
         at = [n for n, f in enumerate(fresh) if f] + [len(words)]
+        ranges = {(a, next((b for b in at[k + 1 :] if b - a >= least), None)) for k, a in enumerate(at[:-1])}
+        line = [n for n, f in enumerate(broken) if f] + [len(words)]
+        ranges |= set(zip(line, line[1:])) | {(next((a for a in reversed(at) if b - a >= least), None), b) for b in line[1:]}
         cover = []
-        for k, a in enumerate(at[:-1]):
-            b = next((b for b in at[k + 1 :] if b - a >= least), None)
-            if b is None:
-                continue
+        for a, b in sorted(r for r in ranges if None not in r):
             key = " ".join(w for _, _, w in words[a:b]).lower()
             start, end = words[a][0], words[b - 1][1]
             stop = words[b][0] if b < len(words) else len(text)
@@ -165,6 +168,20 @@ def test_passages_as_by_looking_up_all(spark):
     assert got == brute_spans(rows, lines.MIN_WORDS) and len(got) >= 10
 
 
+def test_whole_lines_of_any_length_are_found(spark):
+    """A line of 15 words in twenty pages, one of a word, and the end of a copied line that is too short for a paragraph of its own."""
+    rng = np.random.default_rng(15)
+    line = " ".join(prose(rng, 15))
+    two = " ".join(prose(rng, 26)).capitalize() + ". " + " ".join(prose(rng, 9)).capitalize() + "."
+    rows = [(i, f"{' '.join(prose(rng, 12))}\n{line.upper() if i % 2 else line}!\nMenu\n{' '.join(prose(rng, 7))} {two if i < 2 else ''}") for i in range(20)]
+    got = set(map(tuple, lines.repeated_spans(frame(spark, rows)).collect()))
+    assert got == brute_spans(rows, lines.MIN_WORDS)
+    kept = {r.doc_id: r.text for r in lines.drop_repeated(frame(spark, rows)).collect()}
+    assert sum(line in t.lower() for t in kept.values()) == sum("Menu" in t for t in kept.values()) == sum(two[-20:] in t for t in kept.values()) == 1
+    only_long = lines.repeated_spans(frame(spark, rows), min_line_words=lines.MIN_WORDS).collect()
+    assert [r.doc_id for r in only_long] == [1]
+
+
 def test_passages_set_into_sentences_are_found_and_the_rest_stays(spark):
     rows, shared = line_corpus()
     kept = {r.doc_id: r.text for r in lines.drop_repeated(frame(spark, rows)).collect()}
@@ -182,7 +199,7 @@ def test_passages_at_the_edges(spark):
     rows = [(None, p), (1, None), (2, ""), (3, p), (4, p + "\nand more"), (5, "short " * 5), (6, "short " * 5), (7, long), (3, p), (9, "𝒳é " + p)]
     docs = frame(spark, rows)
     got = set(map(tuple, lines.repeated_spans(docs).collect()))
-    assert (4, 0, len(p)) in got and not any(i in (None, 1, 2, 3, 5, 6) for i, _, _ in got)
+    assert (4, 0, len(p)) in got and (6, 0, 30) in got and not any(i in (None, 1, 2, 3, 5) for i, _, _ in got)
     clashing = docs.select("*", docs.lang.alias("start"), docs.lang.alias("hi"), docs.lang.alias("key"), docs.lang.alias("_s"), docs.lang.alias("lang"))
     kept = lines.drop_repeated(clashing)
     assert kept.columns == clashing.columns

@@ -1,9 +1,9 @@
-"""Substring dedup: units of the lines are normalised, digests of paragraphs of them grouped over the corpus, and all but the earliest occurrence removed.
+"""Substring dedup: lines and paragraphs are normalised, their digests grouped over the corpus, and all but the earliest occurrence removed.
 
-A unit is a line or, within a line, a piece of it that starts like a sentence: copied passages
-are often set into the middle of other lines, where a digest of the whole line misses them. A
-paragraph is a unit with as many of the following ones as bring it to MIN_WORDS words, so a
-digest stands for at least that many words wherever it occurs.
+Every line has a digest, of whatever length. Copied passages are often set into the middle of
+other lines, where a digest of the whole line misses them, so a line is also split into units
+that start like sentences. A paragraph is a unit with as many of the following ones as bring it
+to MIN_WORDS words, and, at the end of each line, as many of the units before it as do.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import lists, small_batches
 
-#: Words of a paragraph; what repeats in fewer words stays, since that repeats by chance and in set phrases.
+#: Words of a paragraph: pieces of lines that repeat in fewer words stay, since those repeat by chance and in set phrases.
 MIN_WORDS = 25
+#: Words of a line that has a digest of its own; 1 takes all.
+MIN_LINE_WORDS = 1
 _WORD, _UPPER, _SPACE, _STOP, _BREAK = 1, 2, 4, 8, 16
 
 
@@ -46,8 +48,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kinds, lower
 
 
-def paragraphs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Start, end and 16-byte digest of each paragraph, by start.
+def paragraphs(text: str, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Start, end and 16-byte digest of each line and paragraph, by start and end.
 
     A unit starts at the first word of the text, and at a word if the gap before
     it has a line break, or white space and either one of .!? or a capital
@@ -62,23 +64,28 @@ def paragraphs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.nd
     word[1:-1] = k & _WORD
     edge = np.diff(word)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if len(starts) < min_words:
+    if not len(starts):
         return nothing
     breaks = np.flatnonzero(k & _BREAK)
     before = np.searchsorted(breaks, starts)
     fresh = np.diff(before, prepend=-1) > 0
+    line = np.flatnonzero(fresh)
+    line_to = np.append(line[1:], len(starts))
     # Only gaps with white space and a stop, or white space and a capital, are units' ends besides breaks.
     stops = np.concatenate([[0], np.cumsum((k & _STOP) > 0)])
     spaces = np.concatenate([[0], np.cumsum((k & _SPACE) > 0)])
     previous = np.concatenate([[0], ends[:-1]])
     spaced = spaces[starts] > spaces[previous]
     fresh |= spaced & ((stops[starts] > stops[previous]) | ((k[starts] & _UPPER) > 0))
-    fresh[0] = True
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(starts))
-    to = np.searchsorted(last, first + min_words)
-    first = first[to < len(last)]
-    to = last[to[to < len(last)]]
+    unit = np.flatnonzero(fresh)
+    last = np.append(unit[1:], len(starts))
+    to = np.searchsorted(last, unit + min_words)
+    tail = np.searchsorted(unit, line_to - min_words, side="right") - 1
+    long = line_to - line >= min_line_words
+    first = np.concatenate([unit[to < len(last)], unit[tail[tail >= 0]], line[long]])
+    to = np.concatenate([last[to[to < len(last)]], line_to[tail >= 0], line_to[long]])
+    # A line may be its own paragraph; each range of words counts once.
+    first, to = np.divmod(np.unique(first * (len(starts) + 1) + to), len(starts) + 1)
     keep = word[1:-1].astype(bool)
     inside = ends[ends < len(codes)]
     keep[inside] = True
@@ -91,12 +98,12 @@ def paragraphs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.nd
     digests = [digest(view[a:b]) for a, b in zip((offsets[first] * 4).tolist(), (offsets[to] * 4 - 4).tolist(), strict=True)]
     end = ends[to - 1]
     following = np.append(starts, len(codes))[to]
-    line = np.append(breaks, len(codes))[np.searchsorted(breaks, end)]
-    return starts[first], np.minimum(following, line), digests
+    stop = np.append(breaks, len(codes))[np.searchsorted(breaks, end)]
+    return starts[first], np.minimum(following, stop), digests
 
 
-def _units(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, key, start, end, hi, lo) of every paragraph; key tells texts with the same id apart."""
+def _units(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    """(doc_id, key, start, end, hi, lo) of every line and paragraph; key tells texts with the same id apart."""
     small_batches(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +111,7 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             counts, starts, ends, digests = [], [], [], []
             for text in b.column(2):
-                s, e, d = paragraphs(text.as_py(), min_words)
+                s, e, d = paragraphs(text.as_py(), min_words, min_line_words)
                 counts.append(len(d))
                 starts.append(s)
                 ends.append(e)
@@ -118,9 +125,9 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(split, "doc_id long, key long, start int, end int, hi long, lo long")
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     """(doc_id, key, start, end): what is to be removed, as spans that don't overlap or touch."""
-    units = _units(docs, min_words)
+    units = _units(docs, min_words, min_line_words)
     # Grouping is partial before its shuffle and the join splits skewed keys, so a passage that all documents share is no hot spot.
     first = units.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", "f")
     again = units.join(first, ["hi", "lo"]).filter(F.struct("doc_id", "key", "start") != F.col("f")).select("doc_id", "key", "start", "end")
@@ -134,15 +141,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end): each passage that occurs earlier in the corpus, by characters of the original text.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """(doc_id, start, end): each line or passage that occurs earlier in the corpus, by characters of the original text.
 
     Earlier is by (doc_id, start); of different texts with one id, by a hash of
-    the text. Overlapping and touching spans are one. Null and empty texts,
-    texts of fewer than min_words words and rows with a null id have none and make none.
+    the text; within a text a line that comes again is a later one. Lines of min_line_words
+    words or more and passages of min_words or more count. Overlapping and touching spans are
+    one. Null and empty texts, texts without words and rows with a null id have none and make
+    none. Texts may be of any length, and an empty table has no rows. Ids are integers or cast to them.
     Rows repeated whole count as one row. Extra columns are not looked at.
     """
-    return _spans(_keyed(docs, id_col, text_col), min_words).select("doc_id", "start", "end")
+    return _spans(_keyed(docs, id_col, text_col), min_words, min_line_words).select("doc_id", "start", "end")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -155,8 +164,8 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(parts)
 
 
-def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without the passages that occur earlier, in the columns of documents; n_chars is brought up to date where it is there.
+def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """The documents without the lines and passages that occur earlier, in the columns of documents; n_chars is brought up to date where it is there.
 
     A document left without any letter or digit goes. Others stay, those with a
     null id or text as they are. Extra columns may have any name, even one twice.
@@ -165,7 +174,7 @@ def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     id_at, text_at = names.index("doc_id"), names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    gone = _spans(_keyed(plain, f"c{id_at}", f"c{text_at}"), min_words).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
+    gone = _spans(_keyed(plain, f"c{id_at}", f"c{text_at}"), min_words, min_line_words).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     gone = gone.select(F.col("doc_id").alias("_i"), F.col("key").alias("_k"), F.col("s.start").alias("_s"), F.col("s.end").alias("_e"))
     # The spans are the small side: with them hashed, the texts are neither sorted nor spilled.
     joined = plain.join(gone.hint("shuffle_hash"), (F.col(f"c{id_at}").cast("long") == F.col("_i")) & (F.xxhash64(f"c{text_at}") == F.col("_k")), "left").drop("_i", "_k")
@@ -209,20 +218,24 @@ placed as (
 ),
 words as (
   select doc_id, s, pos, till, following, row_number() over (partition by doc_id order by k) - 1 as n,
-    coalesce(contains(gap, chr(10)) or (regexp_matches(gap, '[\\s\\p{{Z}}]') and (regexp_matches(gap, '[.!?]') or regexp_matches(s, '^[\\p{{Lu}}\\p{{Lt}}]'))), false) as fresh
+    coalesce(contains(gap, chr(10)) or (regexp_matches(gap, '[\\s\\p{{Z}}]') and (regexp_matches(gap, '[.!?]') or regexp_matches(s, '^[\\p{{Lu}}\\p{{Lt}}]'))), false) as fresh,
+    coalesce(contains(gap, chr(10)), false) as broken
   from placed where is_word
 ),
-bounded as (
-  select doc_id, n, pos as start, lead(n, 1, (select count(*) from words v where v.doc_id = w.doc_id)) over (partition by doc_id order by n) as stop
-  from words w where n = 0 or fresh
-),
+lens as (select doc_id, count(*) as total from words group by doc_id),
+bounded as (select doc_id, n, pos as start, coalesce(lead(n) over (partition by doc_id order by n), total) as stop from words join lens using (doc_id) where n = 0 or fresh),
+lined as (select doc_id, n, pos as start, coalesce(lead(n) over (partition by doc_id order by n), total) as stop from words join lens using (doc_id) where n = 0 or broken),
 wide as (
   select a.doc_id, a.n, a.start, b.stop from (select *, n + {MIN_WORDS} as least from bounded) a asof join bounded b on a.doc_id = b.doc_id and a.least <= b.stop
 ),
+tails as (
+  select l.doc_id, b.n, b.start, l.stop from (select *, stop - {MIN_WORDS} as most from lined) l asof join bounded b on l.doc_id = b.doc_id and l.most >= b.n
+),
+ranges as (from wide union select doc_id, n, start, stop from lined where stop - n >= {MIN_LINE_WORDS} union from tails),
 strings as (select doc_id, list(lower(s) order by n) as ws from words group by doc_id),
 paragraphs as (
   select p.doc_id, p.start, l.till + coalesce(length(regexp_extract(l.following, '^[^\\n]*')), 0) as stop, array_to_string(t.ws[p.n + 1 : p.stop], ' ') as norm
-  from wide p join words l on l.doc_id = p.doc_id and l.n = p.stop - 1 join strings t on t.doc_id = p.doc_id
+  from ranges p join words l on l.doc_id = p.doc_id and l.n = p.stop - 1 join strings t on t.doc_id = p.doc_id
 ),
 ranked as (select doc_id, start, stop, row_number() over (partition by norm order by doc_id, start) as r from paragraphs),
 again as (select doc_id, start, stop from ranked where r > 1),
