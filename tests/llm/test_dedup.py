@@ -93,6 +93,45 @@ def test_a_chain_is_one_group(spark):
     assert {r.group_id for r in minhash.groups(frame(spark, rows)).collect()} == {0}
 
 
+def templated(n, own, seed=12):
+    """Documents of one 60-word template and their own words; each tenth has a near copy."""
+    rng = np.random.default_rng(seed)
+    template = prose(rng, 60)
+    rows = []
+    for i in range(n):
+        w = template + [f"own{i}_{k}" for k in range(own)]
+        rows.append((2 * i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join([*w[:-6], *(f"new{i}_{k}" for k in range(6))])))
+    return rows
+
+
+@pytest.mark.parametrize("own", [32, 60])
+def test_a_template_makes_no_pair_of_each_two(spark, monkeypatch, own):
+    """Near copies among documents that share much, but less than the threshold, have their groups; the pairs to verify grow as the documents."""
+    made = []
+    inner = minhash._prefix_pairs
+    monkeypatch.setattr(minhash, "_prefix_pairs", lambda *a: made.append(inner(*a)) or made[-1])
+    counts = []
+    for n in (150, 300):
+        rows = templated(n, own)
+        got = {r.doc_id: r.group_id for r in minhash.groups(frame(spark, rows)).collect()}
+        assert got == {2 * i + k: 2 * i for i in range(0, n, 10) for k in (0, 1)}
+        counts.append(made[-1].count())
+    assert counts[1] <= 300  # all pairs would be 54,000
+
+
+def test_prefixes_miss_no_pair(spark):
+    rng = np.random.default_rng(13)
+    sets = [rng.choice(60, rng.integers(1, 30), replace=False) for _ in range(150)]
+    sets += [np.unique(np.append(rng.permutation(s)[: max(1, len(s) * 3 // 4)], rng.integers(60, 70))) for s in sets]
+    df = spark.createDataFrame([(i, sorted(int(x) for x in s)) for i, s in enumerate(sets)], "id long, set array<int>")
+    got = {(r.a, r.b) for r in minhash._prefix_pairs(df.selectExpr("id", "id % 7 as root"), df, 0.5).collect()}
+    own = [set(s.tolist()) for s in sets]
+    want = {(a, b) for a in range(300) for b in range(a) if a % 7 != b % 7 and len(own[a] & own[b]) >= 0.5 * len(own[a] | own[b])}
+    assert want <= got and len(want) > 100
+
+
 def test_tensored_keys_meet_as_their_parts_do():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 32, (1, minhash.LEFT * minhash.LEFT_SIZE + minhash.RIGHT * minhash.RIGHT_SIZE), dtype=np.uint64).astype(np.uint32)

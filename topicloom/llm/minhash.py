@@ -22,6 +22,8 @@ WORDS = 3
 THRESHOLD = 0.5
 LEFT, LEFT_SIZE = 12, 2
 RIGHT, RIGHT_SIZE = 20, 3
+#: Documents of a bucket outside its largest group up to which each is set against the whole bucket; beyond, prefixes find the pairs.
+SMALL = 32
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, LEFT * LEFT_SIZE + RIGHT * RIGHT_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, len(_A), dtype=np.uint64)
@@ -145,6 +147,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return there.mapInArrow(compare, "a long, b long")
 
 
+def _prefix_pairs(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a > b: pairs of different roots of hot (id, root) that may have Jaccard similarity threshold; none that has is missing.
+
+    The shingles of a set are ordered from the rarest on. Two sets that are
+    alike share one of the first |x| - threshold |x| + 1 of the larger and the
+    first |y| - 2 threshold / (1 + threshold) |y| + 1 of the smaller. What a
+    template gives to many documents comes last, so documents that are below the
+    threshold share no such shingle by their template.
+    """
+    tokens = sets.join(hot, "id").select("id", "root", F.size("set").alias("size"), F.explode("set").alias("t"))
+    # A shingle of one document comes first in its order and finds nothing, so only the shared ones are placed.
+    often = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("id")
+    at = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "t")) - 1
+    placed = tokens.join(often, "t").withColumn("at", at)
+    short = F.col("size") - F.ceil(F.col("size") * (2 * threshold / (1 + threshold)) - 1e-9)
+    placed = placed.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9)).select("t", "id", "root", "size", (F.col("at") <= short).alias("first"))
+    placed = written(placed, "prefixes")
+    sizes = placed.groupBy("t", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("t").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1").select("t", "most")
+    rest = placed.join(mixed, "t")
+    few = rest.filter("root <> most").select("t", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx"), F.col("first").alias("fx"))
+    smaller = F.when(F.struct("size", "id") < F.struct("sx", "x"), F.col("first")).otherwise(F.col("fx"))
+    alike = smaller & (F.least("size", "sx") >= F.greatest("size", "sx") * threshold)
+    return rest.join(few, "t").filter("root <> rx").filter(alike).select(F.least("id", "x").alias("b"), F.greatest("id", "x").alias("a")).distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of each document that has near copies: connected by pairs of Jaccard similarity threshold or more over WORDS-word shingles; group_id is the smallest doc_id.
 
@@ -164,21 +193,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # One row an id, of the least digest; ids that another of the same words stands for are not searched.
     reps = signed.join(same.select(F.col("a").alias("id")).distinct().hint("shuffle_hash"), "id", "left_anti")
     reps = written(reps.groupBy("id").agg(F.min_by("sig", F.struct("hi", "lo")).alias("sig")), "reps")
-    bucket = Window.partitionBy("key").orderBy("id")
-    first = _keyed(reps).select("id", F.first("id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    # The least id of a bucket is aggregated in part before its shuffle, and the join splits a hot bucket.
+    keyed = _keyed(reps)
+    least = keyed.groupBy("key").agg(F.min("id").alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", "m")
+    first = keyed.join(least, "key")
     stars = written(first.filter("id <> m").groupBy("id").agg(F.collect_set("m").alias("ms")), "stars")
     searched = stars.select("id").union(stars.select(F.explode("ms").alias("id"))).distinct()
     sets = written(_sets(plain, searched), "sets")
     edges = written(_verified(stars.select(F.col("id").alias("a"), F.array_min("ms").alias("b")), sets, threshold), "near")
     found = components(edges)
     # What is left: pairs of one bucket in different groups. All but the bucket's largest group are set against all, so a large group is never squared.
-    label = reps.join(searched, "id").join(found, "id", "left").select("id", "sig", F.coalesce("root", "id").alias("root"))
+    label = written(reps.join(searched, "id").join(found, "id", "left").select("id", "sig", F.coalesce("root", "id").alias("root")), "labelled")
     spread = _keyed(label, "root")
     sizes = spread.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("groups")).filter("groups > 1").select("key", "most")
+    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("few")).filter("few > 0")
     rest = written(spread.join(mixed, "key"), "mixed")
-    few = rest.filter("root <> most").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-    pairs = rest.join(few, "key").filter("root <> rx").select(F.least("id", "x").alias("b"), F.greatest("id", "x").alias("a")).distinct()
+    light = rest.filter(F.col("few") <= SMALL)
+    few = light.filter("root <> most").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
+    pairs = light.join(few, "key").filter("root <> rx").select(F.least("id", "x").alias("b"), F.greatest("id", "x").alias("a"))
+    pairs = pairs.union(_prefix_pairs(rest.filter(F.col("few") > SMALL).select("id", "root").distinct(), sets, threshold)).distinct()
     tried = stars.select(F.col("id").alias("a"), F.array_min("ms").alias("b"))
     more = _verified(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, threshold)
     found = components(edges.union(more).union(same))
