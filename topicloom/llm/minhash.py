@@ -24,6 +24,8 @@ LEFT, LEFT_SIZE = 12, 2
 RIGHT, RIGHT_SIZE = 20, 3
 #: Documents of a bucket outside its largest group up to which each is set against the whole bucket; beyond, prefixes find the pairs.
 SMALL = 32
+#: The map of the keys that several documents have is of 2 ** MAP_BITS bits at every size of input; a fuller one lets more keys through, never fewer.
+MAP_BITS = 27
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, LEFT * LEFT_SIZE + RIGHT * RIGHT_SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, len(_A), dtype=np.uint64)
@@ -89,16 +91,30 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("id", word_hashes(F.col("text")).alias("w")).mapInArrow(sign, "id long, hi long, lo long, sig array<int>")
 
 
-def _keyed(signed: DataFrame, extra: str | None = None) -> DataFrame:
-    """(id, key) of each table, with an extra column of longs carried along."""
+def _shared_keys(keys: DataFrame) -> np.ndarray:
+    """The map of these keys: 64 bits a word, placed by a key's first MAP_BITS bits."""
+    bit = f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 63 as int))"
+    words = keys.groupBy(F.shiftrightunsigned("key", 70 - MAP_BITS).alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _keyed(signed: DataFrame, extra: str | None = None, shared=None) -> DataFrame:
+    """(id, key) of each table, with an extra column of longs carried along; of the keys in the broadcast map shared, if it is given."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values, offsets = lists(b.column(1))
             if b.num_rows:
                 k = keys(values.view(np.uint32).reshape(b.num_rows, -1))
-                cols = [pa.array(np.repeat(b.column(i).to_numpy(), k.shape[1])) for i in (0, *([2] if extra else []))]
-                yield pa.record_batch([*cols, pa.array(k.ravel())], ["id", *([extra] if extra else []), "key"])
+                cols = [np.repeat(b.column(i).to_numpy(), k.shape[1]) for i in (0, *([2] if extra else []))]
+                cols.append(k.ravel())
+                if shared is not None:
+                    at = cols[-1].view(np.uint64) >> np.uint64(64 - MAP_BITS)
+                    there = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    cols = [c[there] for c in cols]
+                yield pa.record_batch([pa.array(c) for c in cols], ["id", *([extra] if extra else []), "key"])
 
     return signed.select("id", "sig", *([extra] if extra else [])).mapInArrow(spread, f"id long, {extra + ' long, ' if extra else ''}key long")
 
@@ -193,10 +209,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # One row an id, of the least digest; ids that another of the same words stands for are not searched.
     reps = signed.join(same.select(F.col("a").alias("id")).distinct().hint("shuffle_hash"), "id", "left_anti")
     reps = written(reps.groupBy("id").agg(F.min_by("sig", F.struct("hi", "lo")).alias("sig")), "reps")
-    # The least id of a bucket is aggregated in part before its shuffle, and the join splits a hot bucket.
-    keyed = _keyed(reps)
-    least = keyed.groupBy("key").agg(F.min("id").alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", "m")
-    first = keyed.join(least, "key")
+    # The least id of a bucket is aggregated in part before its shuffle, and the join splits a hot bucket. Most keys are of one document and are left out before the join.
+    least = written(_keyed(reps).groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("n")).filter("m < n").select("key", "m"), "least")
+    shared = docs.sparkSession.sparkContext.broadcast(_shared_keys(least))
+    first = _keyed(reps, shared=shared).join(least, "key")
     stars = written(first.filter("id <> m").groupBy("id").agg(F.collect_set("m").alias("ms")), "stars")
     searched = stars.select("id").union(stars.select(F.explode("ms").alias("id"))).distinct()
     sets = written(_sets(plain, searched), "sets")
@@ -204,7 +220,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     found = components(edges)
     # What is left: pairs of one bucket in different groups. All but the bucket's largest group are set against all, so a large group is never squared.
     label = written(reps.join(searched, "id").join(found, "id", "left").select("id", "sig", F.coalesce("root", "id").alias("root")), "labelled")
-    spread = _keyed(label, "root")
+    spread = _keyed(label, "root", shared)
     sizes = spread.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("few")).filter("few > 0")
     rest = written(spread.join(mixed, "key"), "mixed")
