@@ -174,3 +174,15 @@ def test_whole_model(spark):
     assert model.reduce_outliers().filter("topic = -1").count() == 0
     made = topics.hashing_embedder(8)(docs, "doc_id", "text").first().embedding
     assert np.linalg.norm(made) == pytest.approx(1, abs=1e-5)
+
+
+def test_outliers_without_common_words_get_the_lowest_topic(spark):
+    from topicloom.operators import outliers
+
+    scores = spark.createDataFrame([(1, "a", 0.5), (3, "b", 0.5), (2, "c", -0.4)], "topic int, term string, score double")
+    counts = spark.createDataFrame([(10, "b", 2), (11, "zz", 1), (12, "c", 1)], "doc_id long, term string, n long")
+    ids = spark.createDataFrame([(10,), (11,), (12,), (13,)], "doc_id long")
+    got = {r.doc_id: (r.topic, r.sim) for r in outliers.by_ctfidf(counts, scores, ids=ids).collect()}
+    assert got == {10: (3, 1.0), 11: (1, 0.0), 12: (1, 0.0), 13: (1, 0.0)}
+    assert {r.doc_id: r.topic for r in outliers.by_ctfidf(counts, scores, 0.1).collect()} == {10: 3, 11: -1, 12: -1}
+    assert outliers.by_ctfidf(counts, scores.filter("false")).count() == 0

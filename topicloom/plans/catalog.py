@@ -228,13 +228,23 @@ def reduce_outliers_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return outliers.by_embeddings(_vectors(spark, d), 0.1)
 
 
-@query
-def reduce_outliers_ctfidf(spark: SparkSession, d: str) -> DataFrame:
+def _outliers_by_words(spark, d, threshold):
     docs = _docs(spark, d)
     out = F.col("doc_id") % 7 == 0
     c = settled(term_counts(docs.filter(~out).withColumnRenamed("topic", "class"), ["class"]), "counts")
     scores = ctfidf.transform(c, ctfidf.fit(c)).withColumnRenamed("class", "topic")
-    return outliers.by_ctfidf(term_counts(docs.filter(out), ["doc_id"]), scores, 0.05)
+    return outliers.by_ctfidf(term_counts(docs.filter(out), ["doc_id"]), scores, threshold, ids=docs.filter(out).select("doc_id"))
+
+
+@query
+def reduce_outliers_ctfidf(spark: SparkSession, d: str) -> DataFrame:
+    return _outliers_by_words(spark, d, 0.05)
+
+
+@query
+def reduce_outliers_ctfidf_all(spark: SparkSession, d: str) -> DataFrame:
+    """At the threshold of 0 every outlier gets a topic, the lowest one if it shares no word with any."""
+    return _outliers_by_words(spark, d, 0.0)
 
 
 @query

@@ -70,13 +70,22 @@ cv as (select topic, pos, avg(v) as v from cflat group by all),
 cl as (select topic, sqrt(sum(v * v)) as l from cv group by topic)"""
 
 
+def _outliers(threshold: float) -> str:
+    return f"""with {_counts("lang", "doc_id % 7 <> 0")}, {_IDF}, scores as (select class as topic, term, tf * idf as score from tf join idf using (term)),
+        dc as (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) as term from documents where doc_id % 7 = 0) group by all),
+        dn as (select doc_id, sqrt(sum(n * n)) as dn from dc group by doc_id), tn as (select topic, sqrt(sum(score * score)) as tn from scores group by topic),
+        m as (select doc_id, topic, sum(n * score) / max(dn) / max(tn) as sim from dc join scores using (term) join dn using (doc_id) join tn using (topic) group by all),
+        s as (select doc_id, topic, round(coalesce(sim, 0), 8) + 0.0 as sim from (select distinct doc_id from documents where doc_id % 7 = 0) cross join (select topic from tn) left join m using (doc_id, topic))
+        select doc_id, case when sim >= {threshold} then topic else '-1' end as topic, sim from s qualify row_number() over (partition by doc_id order by sim desc, topic) = 1"""
+
+
 def _near(n: int) -> str:
     return f"{_WORDVEC}, {_CENTRES}, sims as (select topic, word, round(sum(wv.v * cv.v) / max(wl.l) / max(cl.l), 6) + 0.0 as score from wv join cv using (pos) join wl using (word) join cl using (topic) group by all), near as (select topic, row_number() over (partition by topic order by score desc, word)::int as rank, word, score from sims qualify rank <= {n})"
 
 
 _EV = "ev as (select vec_id as id, embedding::double[] as e, list_dot_product(embedding::double[], embedding::double[]) as q from embeddings)"
-_DIST = f"{_EV}, dist as (select a.id as a, b.id as b, sqrt(greatest(0, a.q + b.q - 2 * list_dot_product(a.e, b.e))) as d from ev a join ev b on a.id <> b.id)"
-_CORE = f"{_DIST}, core as (select a as id, d as core from (select a, d, row_number() over (partition by a order by d, b) as r from dist) where r = 5)"
+_DIST = f"{_EV}, dist as materialized (select a.id as a, b.id as b, sqrt(greatest(0, a.q + b.q - 2 * list_dot_product(a.e, b.e))) as d from ev a join ev b on a.id <> b.id)"
+_CORE = f"{_DIST}, core as materialized (select a as id, d as core from (select a, d, row_number() over (partition by a order by d, b) as r from dist) where r = 5)"
 _LDA = f"""
 tok as (select doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) as term from documents),
 dfs as (select term, count(distinct doc_id) as df from tok group by term),
@@ -120,11 +129,8 @@ ORACLE: dict[str, str] = {
         f as (select topic, unnest(e) as v, generate_subscripts(e, 1) as pos from d where topic >= 0), c as (select topic, list(v order by pos) as c from (select topic, pos, avg(v) as v from f group by all) group by topic),
         s as (select doc_id, c.topic, round(list_dot_product(e, c) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(c, c)), 6) + 0.0 as sim from d cross join c where d.topic = -1)
         select doc_id, (case when sim >= 0.1 then topic else -1 end)::int as topic, sim from s qualify row_number() over (partition by doc_id order by sim desc, topic) = 1""",
-    "reduce_outliers_ctfidf": f"""with {_counts("lang", "doc_id % 7 <> 0")}, {_IDF}, scores as (select class as topic, term, tf * idf as score from tf join idf using (term)),
-        dc as (select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) as term from documents where doc_id % 7 = 0) group by all),
-        dn as (select doc_id, sqrt(sum(n * n)) as dn from dc group by doc_id), tn as (select topic, sqrt(sum(score * score)) as tn from scores group by topic),
-        s as (select doc_id, topic, round(sum(n * score) / max(dn) / max(tn), 8) + 0.0 as sim from dc join scores using (term) join dn using (doc_id) join tn using (topic) group by all)
-        select doc_id, case when sim >= 0.05 then topic else '-1' end as topic, sim from s qualify row_number() over (partition by doc_id order by sim desc, topic) = 1""",
+    "reduce_outliers_ctfidf": _outliers(0.05),
+    "reduce_outliers_ctfidf_all": _outliers(0.0),
     "keybert_keywords": f"with {_near(10)} select topic, rank, word, score from near",
     "mmr_keywords": f"""with {_near(20)}, cand as materialized (select near.*, u.u from near join (select word, list(wv.v / wl.l order by pos) as u from wv join wl using (word) group by word) u using (word)),
         p1 as (select * from cand where rank = 1),

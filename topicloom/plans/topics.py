@@ -86,8 +86,9 @@ class TopicModel:
         if strategy == "embeddings":
             found = outliers.by_embeddings(self.embeddings.join(self.topics, "doc_id"), threshold)
         elif strategy == "ctfidf":
-            counts = term_counts(self.docs.join(self.topics.filter("topic = -1"), "doc_id", "left_semi"), ["doc_id"])
-            found = outliers.by_ctfidf(counts, self.scores.withColumnRenamed("class", "topic"), threshold)
+            ids = self.topics.filter("topic = -1").select("doc_id")
+            counts = term_counts(self.docs.join(ids, "doc_id", "left_semi"), ["doc_id"])
+            found = outliers.by_ctfidf(counts, self.scores.withColumnRenamed("class", "topic"), threshold, ids=ids)
         else:
             raise ValueError("strategy is embeddings or ctfidf")
         self.topics = settled(outliers.merged(self.topics, found), "topics")
