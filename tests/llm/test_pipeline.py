@@ -74,5 +74,5 @@ def test_same_as_sql(spark, name):
 
 
 def test_ten_queries_and_their_stages(spark):
-    assert {q[2:].split("_")[0] for q in queries.QUERIES} == {str(k) for k in range(1, 11)}
+    assert {q[2:].split("_")[0] for q in queries.QUERIES if q.startswith("op")} == {str(k) for k in range(1, 11)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "bpe"]
