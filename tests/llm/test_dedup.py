@@ -330,3 +330,15 @@ def test_vectors_at_the_edges(spark):
     assert vectors.near_groups(vector_frame(spark, [])).count() == 0
     long = [(k, [float(x) for x in np.random.default_rng(k % 2).normal(size=3000)]) for k in range(4)]
     assert {r.vec_id: (r.group_id, r.links) for r in vectors.near_groups(vector_frame(spark, long)).collect()} == {0: (0, 1), 1: (1, 1), 2: (0, 1), 3: (1, 1)}
+
+
+def test_low_thresholds_compare_all_pairs_in_one_table(spark):
+    """So many tables as a low threshold asks for would send each vector to all of them with all its keys."""
+    assert vectors.plan(100_000, 0.4, 1e-9) == (0, 1) and vectors.plan(100_000, 0.9)[0] == 7
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(300, 24))
+    got = vectors.near_groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.4, miss=1e-9).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.4
+    np.fill_diagonal(near, False)
+    assert {r.vec_id: r.links for r in got} == dict(enumerate(near.sum(1).tolist()))
