@@ -186,3 +186,28 @@ def test_outliers_without_common_words_get_the_lowest_topic(spark):
     assert got == {10: (3, 1.0), 11: (1, 0.0), 12: (1, 0.0), 13: (1, 0.0)}
     assert {r.doc_id: r.topic for r in outliers.by_ctfidf(counts, scores, 0.1).collect()} == {10: 3, 11: -1, 12: -1}
     assert outliers.by_ctfidf(counts, scores.filter("false")).count() == 0
+
+
+def test_packed_steps_are_those_of_the_counts(spark, monkeypatch):
+    docs = corpus(spark).union(spark.createDataFrame([(3, "apple road"), (60, "unseen")], "doc_id long, text string"))
+    monkeypatch.setattr(lda, "CHUNK", 40)
+    words, packed, chunks = lda.pack(docs)
+    assert chunks > 1
+    n = docs.select("doc_id").distinct().count()
+    terms = lda.vocabulary(words, n)
+    c = lda.term_counts(docs, ["doc_id"]).join(terms, "term")
+    beta = lda.initial_topics(terms, 3)
+    theta = lda.e_step(c, lda.even(c, 3), beta, 3, 0.2)
+    swept = lda.sweep(packed, words, beta, chunks, 3, 0.2, sums=True)
+    got = {r.doc_id: r.theta for r in lda.thetas(swept).filter("words > 0").collect()}
+    want = {r.doc_id: r.theta for r in theta.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    got = {r.term: r.beta for r in lda.m_step_of(swept, beta, 3, 0.1).collect()}
+    want = {r.term: r.beta for r in lda.m_step(c, theta, beta, 3, 0.1).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_lda_goes_online_by_its_counts_and_not_by_a_matrix_it_never_makes(spark):
+    docs = corpus(spark)
+    batch = lda.Lda(topics=3, iterations=2, method="batch").fit(docs).topic_words(4).collect()
+    assert lda.Lda(topics=3, iterations=2, memory_limit_gb=1e-6).fit(docs).topic_words(4).collect() == batch
