@@ -211,3 +211,15 @@ def test_lda_goes_online_by_its_counts_and_not_by_a_matrix_it_never_makes(spark)
     docs = corpus(spark)
     batch = lda.Lda(topics=3, iterations=2, method="batch").fit(docs).topic_words(4).collect()
     assert lda.Lda(topics=3, iterations=2, memory_limit_gb=1e-6).fit(docs).topic_words(4).collect() == batch
+
+
+def test_transform_query_takes_all_steps(spark):
+    from topicloom.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    docs = tables.table(spark, d, "documents")
+    want = {r.doc_id: r.theta for r in lda.Lda(topics=5, iterations=3).fit(docs).transform(docs, 30).collect()}
+    got = {}
+    for r in catalog.lda_transform(spark, d).collect():
+        got.setdefault(r.doc_id, {})[r.topic] = r.share
+    assert all([got[k][i] for i in range(5)] == pytest.approx(want[k]) for k in want)
