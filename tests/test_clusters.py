@@ -129,3 +129,47 @@ def test_layout_of_a_large_table_is_no_plain_projection(spark, monkeypatch):
     plain = np.array([r.vec for r in reduce.pca(frame(spark, x), 2).orderBy("id").collect()])
     assert np.isfinite(low).all() and (np.linalg.norm(low, axis=1) <= 15.001).all()
     assert not np.allclose(low, plain) and np.linalg.norm(low[y == 0].mean(0) - low[y == 1].mean(0)) > 3
+
+
+def test_ties_and_stripes_of_neighbours(spark, monkeypatch):
+    """Many equal distances: the least ids, and the same in stripes of a few rows and with values that aren't numbers."""
+    x = np.random.default_rng(4).integers(0, 3, (60, 2)).astype(float)
+    d = neighbors.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(60) for j in np.lexsort((np.arange(60), d[i]))[:5]}
+    monkeypatch.setattr(neighbors, "STRIPE", 7)
+    for block in (25, None):
+        assert {(r.src, r.dst) for r in neighbors.knn(frame(spark, x), 5, block=block).collect()} == want
+    r, ids, dist = neighbors.nearest(np.array([[np.nan, 2.0, 1.0, np.inf], [1.0, 1.0, 1.0, 0.5]]), np.array([9, 8, 7, 6]), 3)
+    assert list(zip(r.tolist(), ids.tolist(), dist.tolist(), strict=True)) == [(0, 7, 1.0), (0, 8, 2.0), (1, 6, 0.5), (1, 7, 1.0), (1, 8, 1.0)]
+
+
+def test_forest_of_parts_in_few_rounds(spark, monkeypatch):
+    """Equal weights: the one forest of the order (w, a, b), from parts that are thinned again and again, with a fixed number of tables written."""
+    rng = np.random.default_rng(6)
+    pairs = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 300, (2000, 2)) if p[0] != p[1]})
+    edges = sorted((float(rng.integers(1, 5)), a, b) for a, b in pairs)
+    root, want = list(range(300)), []
+    for w, a, b in edges:
+        x, y = a, b
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        if x != y:
+            root[x] = y
+            want.append((a, b, w))
+    written = []
+    monkeypatch.setattr(mst, "MOST_EDGES", 100)
+    monkeypatch.setattr(mst, "settled", lambda df, name, f=mst.settled: written.append(name) or f(df, name))
+    got = mst.boruvka(spark.createDataFrame([(a, b, w) for w, a, b in edges], "a long, b long, w double"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(written) <= 4
+
+
+def test_reachable_is_the_join_of_pairs(spark):
+    x = np.random.default_rng(7).normal(size=(70, 3))
+    df = frame(spark, x)
+    core = neighbors.core_distances(neighbors.knn(df, 4), 4)
+    want = {(r.a, r.b): r.w for r in neighbors.mutual_reachability(neighbors.pairwise(df), core).collect()}
+    got = {(r.a, r.b): r.w for r in neighbors.reachable(df, core, block=30).collect()}
+    assert len(got) == 70 * 69 // 2 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
