@@ -97,14 +97,16 @@ def layout(edges: tuple[np.ndarray, np.ndarray, np.ndarray], start: np.ndarray,
         d2 = (d * d).sum(1, keepdims=True)
         pull = -2 * p * q * np.maximum(d2, 1e-12) ** (q - 1) / (1 + p * d2**q) * d
         pull = np.clip(pull, -4, 4) * rate
-        move = np.zeros_like(y)
-        np.add.at(move, i, pull)
-        np.add.at(move, j, -pull)
+        at, by = [i, j], [pull, -pull]
         for _ in range(negatives):
             k = rng.integers(0, len(y), len(i))
             d = y[i] - y[k]
             d2 = (d * d).sum(1, keepdims=True)
-            np.add.at(move, i, np.clip(2 * q / ((0.001 + d2) * (1 + p * d2**q)) * d, -4, 4) * rate)
+            at.append(i)
+            by.append(np.clip(2 * q / ((0.001 + d2) * (1 + p * d2**q)) * d, -4, 4) * rate)
+        # Sums in the order of the moves, much quicker than adding each in its place.
+        where, what = np.concatenate(at), np.concatenate(by)
+        move = np.stack([np.bincount(where, what[:, c], len(y)) for c in range(y.shape[1])], 1)
         y += np.clip(move, -4, 4)
         y *= np.minimum(15 / np.sqrt((y * y).sum(1, keepdims=True) + 1e-8), 1)
     return y
@@ -144,14 +146,14 @@ def neighbour_layout(points: DataFrame, k: int = 2, n_neighbors: int = 15, id_co
     """(id, vec): a layout of the fuzzy neighbour graph from the principal components.
 
     Neighbours and memberships are found in the cluster. The layout is one task on
-    the graph's edges, or beyond MOST_SENT bytes of them rounds of joins with the same moves and other random draws.
+    the graph's edges, or beyond four times MOST_SENT bytes of them rounds of joins with the same moves and other random draws.
     """
     start = pca(points, k, id_col, vec_col)
     rows = points.count()
     if rows < 3:
         return start
     near = memberships(neighbors.knn(points, min(n_neighbors, rows - 1), id_col, vec_col))
-    if rows * n_neighbors * 24 > MOST_SENT:
+    if rows * n_neighbors * 24 > 4 * MOST_SENT:
         start = settled(start, "start")
         ids = start.select(id_col).orderBy(id_col).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
         number = settled(points.sparkSession.createDataFrame(ids, f"id {start.schema[id_col].dataType.simpleString()}, n long"), "numbers")
