@@ -223,3 +223,11 @@ def test_transform_query_takes_all_steps(spark):
     for r in catalog.lda_transform(spark, d).collect():
         got.setdefault(r.doc_id, {})[r.topic] = r.share
     assert all([got[k][i] for i in range(5)] == pytest.approx(want[k]) for k in want)
+
+
+def test_bm25_shuffles_each_text_once(spark):
+    from topicloom.plans import catalog
+
+    plan = catalog.bm25_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Counts are made where a document's text already is: no shuffle by document and term.
+    assert "hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x and "term" in x.split("hashpartitioning")[1].split(")")[0]]
