@@ -225,6 +225,24 @@ def test_transform_query_takes_all_steps(spark):
     assert all([got[k][i] for i in range(5)] == pytest.approx(want[k]) for k in want)
 
 
+def test_word_vectors_are_means_over_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 12, rng.integers(0, 6))) for _ in range(40)]
+    vecs = rng.normal(size=(40, 3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id long, embedding array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = keywords.word_vectors(docs, vectors)
+        got = {r.word: r.vec for r in made.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {w: vecs[[w in t.split() for t in texts]].mean(0) for w in {x for t in texts for x in t.split()}}
+    assert got.keys() == want.keys() and all(got[w] == pytest.approx(want[w]) for w in want)
+    assert "Generate" not in made._jdf.queryExecution().toString()
+
+
 def test_bm25_shuffles_each_text_once(spark):
     from topicloom.plans import catalog
 

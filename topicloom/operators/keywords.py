@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosines, doubles, mean_vectors
+from ..functions.vectors import cosines, doubles, matrix, mean_vectors
 
 
 def centroids(docs: DataFrame, topic_col: str = "topic", vec_col: str = "embedding") -> DataFrame:
@@ -50,8 +53,43 @@ def diverse_keywords(docs: DataFrame, words: DataFrame, top_n: int = 10, diversi
 
 
 def word_vectors(docs: DataFrame, vectors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(word, vec): mean vector of the documents that have the word; a stand-in where there is no model to embed words."""
+    """(word, vec): mean vector of the documents that have the word; a stand-in where there is no model to embed words.
+
+    Words and vectors meet in Arrow batches, which give a sum for each of their words; no row is made for a word of a document.
+    """
     from ..functions.text import tokens
 
-    has = docs.join(vectors, id_col).select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word"), "embedding")
-    return mean_vectors(has, ["word"], "embedding").select("word", "vec")
+    has = docs.join(vectors.filter("embedding is not null"), id_col).select(F.array_distinct(tokens(F.col(text_col))).alias("words"), doubles(F.col("embedding")).alias("vec"))
+
+    def rows(words: pa.Array, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([words, pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]), pa.array(np.ascontiguousarray(sums).ravel())), pa.array(n)], ["word", "vec", "n"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).flatten().dictionary_encode()
+            if len(words):
+                codes, at = words.indices.to_numpy(), np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy())
+                x = np.ascontiguousarray(matrix(b.column(1)).T)
+                size = len(words.dictionary)
+                yield rows(words.dictionary, np.stack([np.bincount(codes, v[at], size) for v in x], 1), np.bincount(codes, minlength=size).astype(np.int64))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Means of words from their sums in sorted order; a word may go on in the next batch."""
+        last: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words, x, n = b.column(0), matrix(b.column(1)), b.column(2).to_numpy()
+            if last is not None:
+                words, x, n = pa.concat_arrays([last[0], words]), np.concatenate([last[1], x]), np.concatenate([last[2], n])
+            code = words.dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            words, x, n = words.take(pa.array(first)), np.add.reduceat(x, first), np.add.reduceat(n, first)
+            last = words.slice(len(first) - 1), x[-1:], n[-1:]
+            if len(first) > 1:
+                yield rows(words.slice(0, len(first) - 1), x[:-1] / n[:-1, None], n[:-1])
+        if last is not None:
+            yield rows(last[0], last[1] / last[2][:, None], last[2])
+
+    kinds = "word string, vec array<double>, n long"
+    return has.mapInArrow(partial, kinds).repartition("word").sortWithinPartitions("word").mapInArrow(whole, kinds).select("word", "vec")
