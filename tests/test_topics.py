@@ -225,6 +225,38 @@ def test_transform_query_takes_all_steps(spark):
     assert all([got[k][i] for i in range(5)] == pytest.approx(want[k]) for k in want)
 
 
+def test_net_keeps_its_results_and_little_for_a_step(spark, monkeypatch):
+    """Plain steps give the same outputs, in pieces too, and what is kept is a few arrays and no objects for each step."""
+    monkeypatch.setattr(recurrence, "PIECE", 3)
+    rng = np.random.default_rng(2)
+    net = recurrence.Lstm(3, 4, 2, layers=2, shares=False)
+    x = rng.normal(size=(8, 2, 3))
+    want = x
+    for k in range(2):
+        hid, cell, out = np.zeros((2, 4)), np.zeros((2, 4)), []
+        for row in want:
+            z = np.concatenate([row, hid], 1) @ net.p[f"w{k}"] + net.p[f"b{k}"]
+            i, f, o = (1 / (1 + np.exp(-z[:, 4 * c : 4 * c + 4])) for c in range(3))
+            cell = f * cell + i * np.tanh(z[:, 12:])
+            hid = o * np.tanh(cell)
+            out.append(hid)
+        want = np.array(out)
+    y, kept, _ = net.forward(x)
+    assert np.allclose(y, want @ net.p["head"] + net.p["bias"], atol=1e-12)
+    assert all(isinstance(a, np.ndarray) for layer in kept[0] for a in layer)
+    dy = rng.normal(size=y.shape)
+    grad = net.backward(kept, dy)
+    at = (1, 5)
+    for k in ("w0", "w1"):
+        old = net.p[k][at]
+        net.p[k][at] = old + 1e-6
+        up = (net.forward(x)[0] * dy).sum()
+        net.p[k][at] = old - 1e-6
+        down = (net.forward(x)[0] * dy).sum()
+        net.p[k][at] = old
+        assert (up - down) / 2e-6 == pytest.approx(grad[k][at], rel=1e-5, abs=1e-8)
+
+
 def test_word_vectors_are_means_over_batches(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{k}" for k in rng.integers(0, 12, rng.integers(0, 6))) for _ in range(40)]
