@@ -140,8 +140,12 @@ def test_ties_and_stripes_of_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "STRIPE", 7)
     for block in (25, None):
         assert {(r.src, r.dst) for r in neighbors.knn(frame(spark, x), 5, block=block).collect()} == want
-    r, ids, dist = neighbors.nearest(np.array([[np.nan, 2.0, 1.0, np.inf], [1.0, 1.0, 1.0, 0.5]]), np.array([9, 8, 7, 6]), 3)
-    assert list(zip(r.tolist(), ids.tolist(), dist.tolist(), strict=True)) == [(0, 7, 1.0), (0, 8, 2.0), (1, 6, 0.5), (1, 7, 1.0), (1, 8, 1.0)]
+    x[3] = np.nan
+    far = neighbors.knn(frame(spark, x), 5).collect()
+    assert {r.src for r in far} == set(range(60)) - {3} == {r.dst for r in far} | {r.src for r in far} and len(far) == 59 * 5
+    y = np.array([[0.0, 2.0], [0.0, 1.0], [1.0, 0.0]]) + 1e6
+    src, dst, dist = neighbors.nearest(np.array([9]), np.array([[1e6, 1e6]]), np.array([8, 7, 6]), y, 2, 6)
+    assert list(zip(src.tolist(), dst.tolist(), dist.tolist(), strict=True)) == [(9, 6, 1.0), (9, 7, 1.0)]
 
 
 def test_forest_of_parts_in_few_rounds(spark, monkeypatch):
